@@ -1,0 +1,44 @@
+"""The queries of the problems on training text."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomsieve.llm import repetition, textform
+
+RECORDS, SAMPLES, LINES, DOCUMENTS = "generate_data_v3", "eval_samples", "raw_lines", "documents"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition coverage of every generated answer."""
+    return repetition.repetition_coverage(table(spark, sf_dir, SAMPLES), "sample_id", "generated").withColumnRenamed("id", "sample_id")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_repetition(spark, sf_dir).where("share_8 >= 0.4").select("sample_id")
+
+
+def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments and titles in plain form."""
+    out = textform.unify_text(table(spark, sf_dir, RECORDS), "ord", ["comment", "title"])
+    return out.select(out.id.alias("ord"), "field", "plain", "changed")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = textform.lookalike_pairs(table(spark, sf_dir, RECORDS), "ord", ["comment", "title"])
+    return out.select(out.id_a.alias("ord_a"), out.id_b.alias("ord_b"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    named = [p1_found, p1_repetition, p4_found, p4_unified]
+    return {f.__name__: f for f in named}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
