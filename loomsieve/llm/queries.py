@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomsieve.llm import repetition, textform
+from loomsieve.llm import crosssplit, neardup, repetition, textform
 
 RECORDS, SAMPLES, LINES, DOCUMENTS = "generate_data_v3", "eval_samples", "raw_lines", "documents"
 
@@ -35,8 +36,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(out.id_a.alias("ord_a"), out.id_b.alias("ord_b"))
 
 
+def p2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each comment, message and retry_message with its class of copies and its links."""
+    out = neardup.near_duplicates(table(spark, sf_dir, RECORDS), "ord", ["comment", "message", "retry_message"])
+    return out.withColumnRenamed("id", "ord")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_duplicate_pairs(table(spark, sf_dir, RECORDS), "ord", ["comment", "message", "retry_message"])
+    return out.select(out.id_a.alias("ord_a"), out.id_b.alias("ord_b"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = crosssplit.cross_split_pairs(table(spark, sf_dir, RECORDS), "ord", ["comment", "message"])
+    return out.select(F.least("train_id", "eval_id").alias("ord_a"), F.greatest("train_id", "eval_id").alias("ord_b")).distinct()
+
+
+def p5_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed cross-split overlaps by split and source."""
+    records = table(spark, sf_dir, RECORDS)
+    return crosssplit.overlap_report(records, crosssplit.cross_split_pairs(records, "ord", ["comment", "message"]), "ord")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_repetition, p4_found, p4_unified]
+    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p4_found, p4_unified, p5_found, p5_overlap_report]
     return {f.__name__: f for f in named}
 
 
