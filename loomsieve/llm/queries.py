@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomsieve.llm import crosssplit, neardup, repetition, textform
+from loomsieve.llm import crosssplit, groupsplit, ledger, neardup, repetition, textform
 
 RECORDS, SAMPLES, LINES, DOCUMENTS = "generate_data_v3", "eval_samples", "raw_lines", "documents"
 
@@ -58,8 +58,51 @@ def p5_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosssplit.overlap_report(records, crosssplit.cross_split_pairs(records, "ord", ["comment", "message"]), "ord")
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> tuple[ledger.Ledger, DataFrame]:
+    records = ledger.text_keys(table(spark, sf_dir, RECORDS), "ord", ["title", "retry_message"])
+    lines = ledger.json_keys(table(spark, sf_dir, LINES), "line_id", "payload", "raw_line")
+    return ledger.collapse(spark, [records, lines])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.copies(*_ledger(spark, sf_dir))
+
+
+def p3_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record of each set of copies with the number of its copies."""
+    return _ledger(spark, sf_dir)[0].rows().select("place", "first_id", "copies")
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, keys, stratum, split): a record's key is its base seed; without one in the
+    record or in seed, the record stands by itself."""
+    rows = table(spark, sf_dir, RECORDS).select(F.col("ord").alias("id"), groupsplit.clean_key(F.col("base_seed_id")).alias("base"), "seed_id", F.regexp_replace(groupsplit.clean_key(F.col("task_type")), "[ -]+", "_").alias("stratum"), F.lower(F.trim("split")).alias("split"))
+    seeds = table(spark, sf_dir, "seed").select("seed_id", groupsplit.clean_key(F.col("base_seed_id")).alias("of_seed"))
+    lacking = rows.where("base IS NULL OR base = ''").join(seeds, "seed_id", "left").withColumn("base", F.coalesce(F.concat(F.lit("base:"), "of_seed"), F.concat(F.lit("record:"), F.col("id").cast("string")))).drop("of_seed")
+    known = rows.where("base <> ''").withColumn("base", F.concat(F.lit("base:"), "base"))
+    return known.unionByName(lacking).select("id", F.array("base").alias("keys"), "stratum", "split")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    components = groupsplit.build_components(_entities(spark, sf_dir)).where("size(splits) > 1")
+    return components.where("key LIKE 'base:%'").select(F.substring("key", 6, 1 << 30).alias("base_seed_id"))
+
+
+def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every record."""
+    targets = {r.split: r.share for r in table(spark, sf_dir, "split_targets").collect()}
+    return groupsplit.assign_splits(_entities(spark, sf_dir), targets)[1].withColumnRenamed("id", "ord")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual shares of the splits, overall (stratum null) and for each task type."""
+    rows = p6_assignment(spark, sf_dir).groupBy("stratum", "split").agg(F.count("*").alias("records"))
+    both = rows.groupBy("split").agg(F.sum("records").alias("records")).select(F.lit(None).cast("string").alias("stratum"), "split", "records").union(rows)
+    return both.withColumn("share", F.col("records") / F.sum("records").over(Window.partitionBy("stratum")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p4_found, p4_unified, p5_found, p5_overlap_report]
+    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p3_found, p3_ledger, p4_found, p4_unified, p5_found, p5_overlap_report, p6_found, p6_assignment, p6_shares]
     return {f.__name__: f for f in named}
 
 
