@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomsieve.llm import crosssplit, groupsplit, ledger, neardup, repetition, textform
+from loomsieve.llm import crosssplit, groupsplit, language, ledger, neardup, repetition, textform
 
 RECORDS, SAMPLES, LINES, DOCUMENTS = "generate_data_v3", "eval_samples", "raw_lines", "documents"
 
@@ -101,8 +101,23 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("share", F.col("records") / F.sum("records").over(Window.partitionBy("stratum")))
 
 
+def _codes(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    return {r.lang: r.name for r in table(spark, sf_dir, "lang_codes").collect()}
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language with a confidence for each document and each line of a mixed one."""
+    docs, codes = table(spark, sf_dir, DOCUMENTS), _codes(spark, sf_dir)
+    tagger = language.fit_tagger(docs, "doc_id", "text", "lang", codes)
+    return language.tag_languages(docs, "doc_id", "text", "lang", codes, tagger).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(p10_languages(spark, sf_dir).withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p3_found, p3_ledger, p4_found, p4_unified, p5_found, p5_overlap_report, p6_found, p6_assignment, p6_shares]
+    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p3_found, p3_ledger, p4_found, p4_unified, p5_found, p5_overlap_report, p6_found, p6_assignment, p6_shares, p10_found, p10_languages]
     return {f.__name__: f for f in named}
 
 
