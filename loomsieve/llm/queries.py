@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomsieve.llm import crosssplit, groupsplit, language, ledger, neardup, repetition, textform
+from loomsieve.llm import crosssplit, groupsplit, language, ledger, neardup, pairdefects, repetition, textform
 
 RECORDS, SAMPLES, LINES, DOCUMENTS = "generate_data_v3", "eval_samples", "raw_lines", "documents"
 
@@ -101,6 +101,15 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("share", F.col("records") / F.sum("records").over(Window.partitionBy("stratum")))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = table(spark, sf_dir, SAMPLES)
+    return pairdefects.defective_pairs(samples, "sample_id", "task", "user_input", ["generated", "expected"]).withColumnRenamed("id", "sample_id")
+
+
+def p7_defect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_found(spark, sf_dir).groupBy("field", "defect").agg(F.count("*").alias("answers"))
+
+
 def _codes(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     return {r.lang: r.name for r in table(spark, sf_dir, "lang_codes").collect()}
 
@@ -117,7 +126,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p3_found, p3_ledger, p4_found, p4_unified, p5_found, p5_overlap_report, p6_found, p6_assignment, p6_shares, p10_found, p10_languages]
+    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p3_found, p3_ledger, p4_found, p4_unified, p5_found, p5_overlap_report, p6_found, p6_assignment, p6_shares, p7_found, p7_defect_counts, p10_found, p10_languages]
     return {f.__name__: f for f in named}
 
 
