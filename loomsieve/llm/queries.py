@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomsieve.llm import crosssplit, groupsplit, language, ledger, neardup, pairdefects, repetition, textform
+from loomsieve.llm import crosssplit, groupsplit, language, ledger, mixing, neardup, packing, pairdefects, repetition, textform, tokens
 
 RECORDS, SAMPLES, LINES, DOCUMENTS = "generate_data_v3", "eval_samples", "raw_lines", "documents"
 
@@ -110,6 +110,33 @@ def p7_defect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("field", "defect").agg(F.count("*").alias("answers"))
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of each text, or piece of a text, for each container."""
+    sizes = tokens.token_sizes(table(spark, sf_dir, DOCUMENTS), "doc_id", "text")
+    containers = table(spark, sf_dir, "pack_targets").withColumnRenamed("capacity_tokens", "capacity")
+    return packing.pack(sizes, containers).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of each container against the least that could be."""
+    return packing.fill_report(p8_packing(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = tokens.token_sizes(table(spark, sf_dir, DOCUMENTS), "doc_id", "text", ["source"])
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def _codes(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     return {r.lang: r.name for r in table(spark, sf_dir, "lang_codes").collect()}
 
@@ -126,7 +153,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p3_found, p3_ledger, p4_found, p4_unified, p5_found, p5_overlap_report, p6_found, p6_assignment, p6_shares, p7_found, p7_defect_counts, p10_found, p10_languages]
+    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p3_found, p3_ledger, p4_found, p4_unified, p5_found, p5_overlap_report, p6_found, p6_assignment, p6_shares, p7_found, p7_defect_counts, p8_packing, p8_fill, p9_copies, p9_shares, p10_found, p10_languages]
     return {f.__name__: f for f in named}
 
 
