@@ -62,21 +62,7 @@ SPIKE = 5
 
 def language_of(text: str) -> str | None:
     """By script, and by function words within Latin script; None if there is too little."""
-    n = {"ko": 0, "ja": 0, "zh": 0, "ru": 0, "latin": 0}
-    for c in text:
-        o = ord(c)
-        if o < 128:
-            n["latin"] += c.isalpha()
-        elif 0xAC00 <= o <= 0xD7A3 or 0x1100 <= o <= 0x11FF or 0x3131 <= o <= 0x318E:
-            n["ko"] += 2
-        elif 0x3040 <= o <= 0x30FF:
-            n["ja"] += 2
-        elif 0x4E00 <= o <= 0x9FFF:
-            n["zh"] += 2
-        elif 0x400 <= o <= 0x52F:
-            n["ru"] += 1
-        elif c.isalpha():
-            n["latin"] += 1
+    n = {k: weight * sum(map(len, run.findall(text))) for k, (run, weight) in _SCRIPTS.items()}
     if n["ja"] and n["ja"] * 4 >= n["zh"]:
         n["ja"] += n["zh"]
         n["zh"] = 0
@@ -93,6 +79,14 @@ def language_of(text: str) -> str | None:
     return best if hits[best] >= 2 else None
 
 
+#: Letters of each script in runs, and the weight of one against a Latin letter.
+_SCRIPTS = {
+    "ko": (re.compile("[가-힣\u1100-\u11ff\u3131-\u318e]+"), 2),
+    "ja": (re.compile("[\u3040-\u30ff]+"), 2),
+    "zh": (re.compile("[\u4e00-\u9fff]+"), 2),
+    "ru": (re.compile("[\u0400-\u052f]+"), 1),
+    "latin": (re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]+"), 1),
+}
 _WORDS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 
 
@@ -126,40 +120,38 @@ def _grams(texts: list[str], titles: list[bool]) -> tuple[np.ndarray, np.ndarray
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     line = np.cumsum(codes == 10)
     line[codes == 10] -= 1
-    title = np.array(titles, bool)[np.minimum(line, len(titles) - 1)] if titles else np.zeros(0, bool)
     mark = np.isin(codes, [np.uint64(ord(c)) for c in FINAL])
-    keys, finals, of = [], [], []
+    out: list[list[np.ndarray]] = [[], [], []]
     for n in (4, 3):
-        if len(codes) <= n:
+        at = np.flatnonzero(line[: len(codes) - n] == line[n - 1 : len(codes) - 1])
+        at = at[codes[at + n - 1] != 10]
+        if not len(at):
             continue
-        at = np.arange(len(codes) - n)
-        at = at[(line[at] == line[at + n - 1]) & (codes[at + n - 1] != 10)]
-        h = np.full(len(at), n, np.uint64) + title[at].astype(np.uint64) * np.uint64(9)
-        for j in range(n):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[at + j])
-        keys.append(h)
-        of.append(line[at])
-        after = codes[at + n]
-        finals.append(np.where(title[at], (after == 10) | mark[at + n], mark[at + n]))
-    if not keys:
-        return (np.zeros(0, np.uint64),) * 3  # type: ignore[return-value]
-    k, f, whose = np.concatenate(keys), np.concatenate(finals), np.concatenate(of)
-    # a text counts once for a run, or loops would outvote the rest
-    order = np.lexsort((~f, whose, k))
-    k, f, whose = k[order], f[order], whose[order]
-    new = np.r_[True, (k[1:] != k[:-1]) | (whose[1:] != whose[:-1])]
-    k, f = k[new], f[new]
-    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return k[at], np.diff(np.r_[at, len(k)]), np.add.reduceat(f.astype(np.int64), at)
+        whose = line[at]
+        title = np.array(titles, bool)[whose]
+        k = mix(_packed(codes[at], codes[at + 1], codes[at + 2], codes[at + 3] if n == 4 else None) + title)
+        f = mark[at + n] | (title & (codes[at + n] == 10))
+        # a text counts once for a run, or loops would outvote the rest
+        order = np.argsort(k, kind="stable")
+        k, f, whose = k[order], f[order], whose[order]
+        of = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (whose[1:] != whose[:-1])])
+        k, f = k[of], np.logical_or.reduceat(f, of)
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        for have, new in zip(out, (k[first], np.diff(np.r_[first, len(k)]), np.add.reduceat(f.astype(np.int64), first)), strict=True):
+            have.append(new)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out)  # type: ignore[return-value]
+
+
+def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray | None) -> np.ndarray:
+    x = a << np.uint64(42) | b << np.uint64(21) | c
+    return x if d is None else x * np.uint64(0x9E3779B97F4A7C15) + (d << np.uint64(1))
 
 
 def _key(tail: str, n: int, title: bool) -> int | None:
     if len(tail) < n:
         return None
-    h = np.full(1, n, np.uint64) + np.uint64(9 * title)
-    for c in tail[-n:]:
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ord(c)))
-    return int(h.view(np.int64)[0])
+    c = [np.full(1, ord(x), np.uint64) for x in tail[-n:]]
+    return int(mix(_packed(c[0], c[1], c[2], c[3] if n == 4 else None) + np.uint64(title)).view(np.int64)[0])
 
 
 def _is_copy(bare: str, asked: list[str]) -> bool:
@@ -167,37 +159,43 @@ def _is_copy(bare: str, asked: list[str]) -> bool:
     return any(q and (bare == q or len(q) >= 8 and q in bare and len(bare) <= len(q) + max(3, len(q) // 8)) for q in asked)
 
 
+#: Texts that are their own plain form.
+_USUAL = re.compile("[\x01-\x7f가-힣\u4e00-\u9fff\u3041-\u3096\u30a1-\u30ff]*")
+_MARKS = re.compile(r"[\W_]+")
 _SCHEMA = "id long, field string, defect string, said string, title boolean, open boolean, size int, k4 long, k3 long"
 
 
 def _judged(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Rules that need nothing but the row; open: truncated if the evidence says so."""
     for b in batches:
-        rows, texts = [], []
-        prompts = b["prompt"].to_pylist()
-        for sid, task, prompt, answers in zip(b["id"].to_pylist(), b["task"].to_pylist(), prompts, zip(*(b[n].to_pylist() for n in names), strict=True), strict=True):
+        rows, texts = [], {}
+        for sid, task, prompt, answers in zip(b["id"].to_pylist(), b["task"].to_pylist(), b["prompt"].to_pylist(), zip(*(b[n].to_pylist() for n in names), strict=True), strict=True):
             lines = (prompt or "").split("\n")
             question = next((m for x in lines if QUESTION_LABELS.match(x) and (m := QUESTION_LABELS.sub("", x))), None)
-            whole = [prompt or "", "".join(LABEL.sub("", x) for x in lines)]
+            asked = (question or "", prompt or "", "".join(LABEL.sub("", x) for x in lines))
             title = re.sub(r"[\s_-]", "", task or "").lower() == "title"
+            wanted = "ko"
+            if prompt and prompt.strip():
+                wanted = language_of(question or LABEL.sub("", lines[0])) or "ko"
+            texts.update(dict.fromkeys(asked))
             for name, answer in zip(names, answers, strict=True):
                 state, comment, rest = _parts(answer or "")
-                rows.append((sid, name, title, answer, state, comment, rest, question, whole, prompt))
-                texts += [answer or "", comment, question or "", *whole]
-        plain = textform.plain_texts(texts)
-        bare = ["".join(filter(str.isalnum, (p or "").lower())) for p in plain]
+                rows.append((sid, name, title, answer or "", state, comment, rest, asked, wanted))
+                texts[answer or ""] = texts[comment] = None
+        unusual = [t for t in texts if not _USUAL.fullmatch(t)]
+        plain = {t: t for t in texts} | dict(zip(unusual, textform.plain_texts(unusual), strict=True))
+        bare = {t: _MARKS.sub("", p.lower()) for t, p in plain.items()}
         out = []
-        for i, (sid, name, title, answer, state, comment, rest, question, _, prompt) in enumerate(rows):
-            all_, own, q, w1, w2 = bare[5 * i : 5 * i + 5]
-            said, defect, open_ = plain[5 * i + 1] or "", None, False
+        for sid, name, title, answer, state, comment, rest, asked, wanted in rows:
+            all_, own, prompts = bare[answer], bare[comment], [bare[t] for t in asked]
+            said, defect, open_ = plain[comment], None, False
             if not all_ or all_ in NO_ANSWER or (state == "object" and (not own or own in NO_ANSWER)):
                 defect = "empty"
             elif REFUSAL.search(said):
                 defect = "refusal"
-            elif _is_copy(own, [q, w1, w2]) or _is_copy(all_, [q, w1, w2]):
+            elif _is_copy(own, prompts) or _is_copy(all_, prompts):
                 defect = "copy"
             else:
-                wanted = (language_of(question or LABEL.sub("", prompt.split("\n")[0])) if prompt and prompt.strip() else "ko") or "ko"
                 spoken = language_of((said + " " + rest) if state != "broken" else re.sub(r'"(comment|next_question)"\s*:', " ", said))
                 if spoken and spoken != wanted:
                     defect = "other_language"
@@ -207,7 +205,7 @@ def _judged(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.
                     defect = "truncated"
                 else:
                     open_ = not marked
-            out.append((sid, name, defect, said, title, open_, len(answer or ""), _key(tail, 4, title) if open_ else None, _key(tail, 3, title) if open_ else None))
+            out.append((sid, name, defect, said, title, open_, len(answer), _key(tail, 4, title) if open_ else None, _key(tail, 3, title) if open_ else None))
         types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 9, types, strict=True)], names=["id", "field", "defect", "said", "title", "open", "size", "k4", "k3"])
 
