@@ -108,6 +108,7 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """
     wanted = [r for r in containers.select("container", F.col("capacity").cast("int").alias("capacity")).distinct().collect() if r.capacity and r.capacity > 0]
     each = F.array(*(F.struct(F.lit(r.container).alias("container"), F.lit(r.capacity).alias("capacity")) for r in wanted)) if wanted else F.from_json(F.lit("[]"), "array<struct<container: string, capacity: int>>")
+    sizes = materialize(sizes.select("id", "tokens"), "sizes")  # tokens are counted once
     all_ = sizes.select("id", "tokens", F.explode(each).alias("c")).select("id", "tokens", "c.container", "c.capacity")
     none = all_.where("tokens <= 0 OR tokens IS NULL").select("container", "capacity", "id", F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("bin"), F.lit(None).cast("double").alias("fill"))
     pieces = all_.where("tokens > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1)))
