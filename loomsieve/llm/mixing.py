@@ -65,7 +65,7 @@ def _made_up(copies: DataFrame, wanted: dict[str, float], caps: dict[str, int])
     steps = at.groupBy("source", "bucket").agg(F.sum("give").alias("g"))
     before = steps.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.sum("g").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     run = Window.partitionBy("source", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumn("upto", F.sum("give").over(run)).join(F.broadcast(before), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    at = at.withColumn("upto", F.sum("give").over(run)).join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     change = F.when((F.col("give") > 0) & (F.coalesce("before", F.lit(0)) + F.col("upto") <= F.abs("miss")), F.signum("miss").cast("long")).otherwise(F.lit(0))
     return materialize(at.select("id", "source", "tokens", (F.col("copies") + change).alias("copies")), "copies")
 
