@@ -95,7 +95,7 @@ def assign_splits(records: DataFrame, targets: dict[str, float], existing: DataF
     counts = materialize(counts.groupBy("component", "stratum", "splits").agg(F.sum("n").alias("n")), "counts")
 
     wanted: dict[tuple[str, str], float] = {}
-    for r in counts.groupBy("stratum").agg(F.sum("n").alias("n"), *(F.sum(F.when((F.size("splits") == 1) & (F.col("splits")[0] == s), F.col("n")).otherwise(0)).alias(f"_{i}") for i, s in enumerate(names))).collect():
+    for r in counts.groupBy("stratum").agg(F.sum("n").alias("n"), *(F.sum(F.when((F.size("splits") == 1) & (F.get("splits", F.lit(0)) == s), F.col("n")).otherwise(0)).alias(f"_{i}") for i, s in enumerate(names))).collect():
         for i, s in enumerate(names):
             wanted[s, r.stratum] = targets[s] / whole * r.n - r[f"_{i}"]
 
@@ -138,6 +138,6 @@ def assign_splits(records: DataFrame, targets: dict[str, float], existing: DataF
 
     splits = components.join(done.union(light), "component", "left")
     n = F.size("splits")
-    table = materialize(splits.select("key", "component", F.when(n == 1, F.col("splits")[0]).otherwise(F.col("put")).alias("split"), F.when(n == 1, "kept").when(n == 0, "new").otherwise("quarantined").alias("status")), "components")
+    table = materialize(splits.select("key", "component", F.when(n == 1, F.get("splits", F.lit(0))).otherwise(F.col("put")).alias("split"), F.when(n == 1, "kept").when(n == 0, "new").otherwise("quarantined").alias("status")), "components")
     rows = known.select("id", "stratum", F.element_at("keys", 1).alias("key")).join(table, "key")
     return table, rows.select("id", "component", "stratum", "split", "status")

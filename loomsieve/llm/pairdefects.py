@@ -218,6 +218,12 @@ def _endings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(f.astype(np.int64))], names=["k", "total", "final"])
 
 
+def _continues(short: str, text: str) -> bool:
+    """text goes on inside the sentence with which short ends."""
+    x = _tail(short)[1]
+    return short != text and len(x) >= 8 and text.startswith(x) and text[len(x) :].lstrip(CLOSERS)[:1] not in ("", *FINAL)
+
+
 def _shortened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one sorted partition: texts that the next text continues. The first and last
     text come with edge set, to be compared across partitions."""
@@ -227,7 +233,7 @@ def _shortened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b["said"].to_pylist():
             if last is None:
                 first = t
-            elif t != last and t.startswith(x := _tail(last)[1]) and len(x) >= 8:
+            elif _continues(last, t):
                 found.append(last)
             last = t
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([0] * len(found), pa.int32())], names=["said", "edge"])
@@ -240,7 +246,7 @@ def shortened_versions(texts: DataFrame) -> DataFrame:
     found = materialize(texts.select("said").distinct().repartitionByRange("said").sortWithinPartitions("said").mapInArrow(_shortened, "said string, edge int"), "sorted")
     # two rows for each partition, whatever the input
     edges = sorted((r.said for r in found.where("edge > 0").collect()))
-    across = [(a,) for a, b in zip(edges, edges[1:], strict=False) if a != b and len(x := _tail(a)[1]) >= 8 and b.startswith(x)]
+    across = [(a,) for a, b in zip(edges, edges[1:], strict=False) if _continues(a, b)]
     out = found.where("edge = 0").select("said")
     return (out.union(texts.sparkSession.createDataFrame(across, "said string")) if across else out).distinct()
 
