@@ -7,7 +7,7 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
@@ -88,6 +88,12 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, P.SPACE + "+"), lambda x: x != "")
 
 
+def with_tokens(df: DataFrame, c: Column, name: str = "w") -> DataFrame:
+    """Adds the words of ``c``. A generator holds them, so that they are split once for a
+    row: as a plain column they would be inlined, and split again, wherever used."""
+    return df.select("*", F.explode(F.array(words(c))).alias(name))
+
+
 def first_words(c: Column, n: int) -> Column:
     return F.array_join(F.slice(words(normal_quality(c)), 1, n), " ")
 

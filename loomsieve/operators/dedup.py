@@ -48,8 +48,8 @@ def jaccard_links(df: DataFrame, id_col: str, task_col: str, text_col: str) -> D
     """
     spec = {t: s for t, s in TASKS.items() if s.shingle}
     n, t = (F.create_map(*(x for k, s in spec.items() for x in (F.lit(k), F.lit(getattr(s, f)))))[F.col("task")] for f in ("shingle", "jaccard"))
-    sets = df.where(F.col(task_col).isin(*spec)).select(F.col(task_col).alias("task"), F.col(id_col).alias("id"), T.words(F.col(text_col)).alias("w"))
-    sets = sets.select("task", "id", F.transform(T.word_shingles(F.col("w"), n), lambda x: F.xxhash64(x)).alias("s"), t.alias("t")).where("size(s) > 0")
+    sets = df.where(F.col(task_col).isin(*spec)).select(F.col(task_col).alias("task"), F.col(id_col).alias("id"), F.col(text_col).alias("x"))
+    sets = T.with_tokens(sets, F.col("x")).select("task", "id", F.transform(T.word_shingles(F.col("w"), n), lambda x: F.xxhash64(x)).alias("s"), t.alias("t")).where("size(s) > 0")
     sets = materialize(sets.withColumn("s", F.array_distinct("s")), "shingles")
     each = sets.select("task", "id", F.explode("s").alias("x"))
     often = each.groupBy("task", "x").agg(F.count("*").alias("f")).where("f > 1")
@@ -88,8 +88,10 @@ def minhash_bands(shingles: pd.Series) -> pd.Series:
 
 def lsh_candidates(df: DataFrame, id_col: str, task_col: str, text_col: str, n: int = 5) -> DataFrame:
     """(task, a, b): pairs of a task that share a band of their minhash signature."""
-    sets = df.select(F.col(task_col).alias("task"), F.col(id_col).alias("id"), F.transform(T.word_shingles(T.words(F.col(text_col)), n), lambda x: F.xxhash64(x)).alias("s")).where("size(s) > 0")
+    tokens = T.with_tokens(df.select(F.col(task_col).alias("task"), F.col(id_col).alias("id"), F.col(text_col).alias("x")), F.col("x"))
+    sets = tokens.select("task", "id", F.transform(T.word_shingles(F.col("w"), n), lambda x: F.xxhash64(x)).alias("s")).where("size(s) > 0")
     bands = sets.select("task", "id", F.posexplode(minhash_bands("s")).alias("band", "key"))
+    bands = materialize(bands, "bands")
     bands = bands.join(bands.groupBy("task", "band", "key").count().where("count > 1"), ["task", "band", "key"], "left_semi")
     a, b = bands.alias("a"), bands.alias("b")
     on = (F.col("a.task") == F.col("b.task")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))

@@ -90,8 +90,7 @@ def replies_to_records(replies: DataFrame, reply_col: str, text_col: str, seed_c
     r = F.col(reply_col)
     items = F.coalesce(F.from_json(r, f"array<struct<{text_col}: string>>"), F.array(F.from_json(r, f"struct<{text_col}: string>")))
     plain = F.from_json(r, "array<string>")
-    key = F.get(F.json_object_keys(r), 0)
-    inner = F.when(key.isNotNull(), F.from_json(F.get_json_object(r, "$.*"), f"array<struct<{text_col}: string>>"))
+    inner = F.get(F.filter(F.map_values(F.from_json(r, f"map<string, array<struct<{text_col}: string>>>")), lambda x: x.isNotNull()), 0)
     texts = F.coalesce(F.filter(F.transform(inner, lambda x: x[text_col]), lambda x: x.isNotNull()), F.filter(F.transform(items, lambda x: x[text_col]), lambda x: x.isNotNull()))
     texts = F.when(F.coalesce(F.size(texts), F.lit(0)) > 0, texts).otherwise(plain)
     out = replies.select(*seed_cols, F.explode(texts).alias(text_col)).withColumn(text_col, T.strip(F.col(text_col))).where(F.col(text_col) != "")

@@ -78,7 +78,7 @@ txt AS (SELECT *, CASE WHEN task_type = 'response' THEN coalesce(comment, '') ||
 
 KEPT = f"""{RECORDS},
 hashed AS (SELECT *, sha256({hash_form('text')}) AS hash, {general('text')} AS norm FROM txt),
-kept AS (SELECT * FROM hashed WHERE NOT ({blank('text')}) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ord) = 1)"""
+kept AS MATERIALIZED (SELECT * FROM hashed WHERE NOT ({blank('text')}) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ord) = 1)"""
 
 LINKS = f"""{KEPT},
 tok AS (SELECT ord AS id, task_type AS task, {words('norm')} AS w, CASE WHEN task_type = 'retry' THEN 3 ELSE 5 END AS n, CASE WHEN task_type = 'retry' THEN 0.75 ELSE 0.7 END AS t
@@ -87,16 +87,16 @@ sh AS (SELECT id, task, t, list_distinct(list_transform(range(1, greatest(len(w)
 un AS (SELECT id, task, unnest(s) AS x FROM sh),
 com AS (SELECT a.task, a.id AS a, b.id AS b, count(*) AS c FROM un a JOIN un b ON a.task = b.task AND a.x = b.x AND a.id < b.id GROUP BY ALL),
 jac AS (SELECT com.task, com.a, com.b, com.c / (len(p.s) + len(r.s) - com.c) AS jaccard, p.t FROM com JOIN sh p ON p.id = com.a JOIN sh r ON r.id = com.b),
-near AS (SELECT task, a, b, jaccard FROM jac WHERE jaccard >= t - 1e-9),
+near AS MATERIALIZED (SELECT task, a, b, jaccard FROM jac WHERE jaccard >= t - 1e-9),
 ttl AS (SELECT ord AS id, norm FROM kept WHERE task_type = 'title'),
 cnd AS (SELECT p.id AS a, r.id AS b, p.norm AS x, r.norm AS y FROM ttl p JOIN ttl r ON p.id < r.id AND abs(length(p.norm) - length(r.norm)) <= 2 AND levenshtein(p.norm, r.norm) <= 8),
-edit AS (SELECT a, b, distance FROM (SELECT a, b, {edits('x', 'y')} AS distance FROM cnd) WHERE distance <= 2)"""
+edit AS MATERIALIZED (SELECT a, b, distance FROM (SELECT a, b, {edits('x', 'y')} AS distance FROM cnd) WHERE distance <= 2)"""
 
 
 def greedy(links: str) -> str:
     """CTEs that end in gone (id): rows removed in order; ``links`` selects a, b."""
     return f"""lk AS (SELECT DISTINCT a, b FROM ({links})),
-nb AS (SELECT b AS id, list(a) AS before, row_number() OVER (ORDER BY b) AS k FROM lk GROUP BY b),
+nb AS MATERIALIZED (SELECT b AS id, list(a) AS before, row_number() OVER (ORDER BY b) AS k FROM lk GROUP BY b),
 walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS removed
   UNION ALL SELECT nb.k, CASE WHEN len(list_filter(nb.before, lambda x: NOT list_contains(walk.removed, x))) > 0 THEN list_append(walk.removed, nb.id) ELSE walk.removed END
   FROM walk JOIN nb ON nb.k = walk.k + 1),
