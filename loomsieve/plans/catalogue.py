@@ -13,6 +13,7 @@ from loomsieve.functions import text as T
 from loomsieve.operators import chatml, clean, dedup, quality, scoring, seeds, split
 from loomsieve.operators.tasks import quality_text, task_text, with_clean_task
 from loomsieve.plans import sql as Q
+from loomsieve.plans.pipeline import curate
 from loomsieve.sources.writers import full_outer_curves
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +126,12 @@ def dedup_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.stage_counts([("raw", raw), ("exact", kept), ("near", near)])
 
 
+@_query()
+def curated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline: rows of each split and task."""
+    return curate(records(spark, sf_dir))[0].groupBy("split", "task_type").agg(F.count("*").alias("rows"))
+
+
 # ---- vectors ----------------------------------------------------------------------
 
 _UNIT = "vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"

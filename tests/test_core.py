@@ -255,6 +255,22 @@ def test_rules(spark):
     assert quality.verdict(m).first().status == "FAIL" and quality.verdict(m.limit(0)).first().status == "PASS"
 
 
+def test_curation_counts_telescope(spark):
+    from loomsieve.plans.pipeline import CurationConfig, curate
+
+    rows = [(i, "intro", f"{i % 90} 번째 글은 이렇게 시작해서 저렇게 끝나는 글 {i % 90}", f"g{i % 13}") for i in range(100)]
+    df = spark.createDataFrame(rows, "ord long, task_type string, message string, base_seed_id string")
+    for c in ("comment", "next_question_rephrased", "retry_message", "title"):
+        df = df.withColumn(c, F.lit(None).cast("string"))
+    rng = np.random.default_rng(1)
+    vecs = spark.createDataFrame([(i, rng.normal(size=6).tolist() if i else [1.0] * 6) for i in range(99)], "ord long, vec array<double>")
+    old = spark.createDataFrame([("intro", 1, [1.0] * 6)], "task_type string, ord long, vec array<double>")
+    out, counts = curate(df, vecs, old, CurationConfig(cosine=0.8))
+    c = {r.stage: (r.kept, r.removed) for r in counts.collect()}
+    assert list(c) and c["raw"][0] == 100 and c["exact"] == (90, 10) and c["cross_version"][1] >= 1
+    assert out.count() == c["cross_version"][0] == 100 - sum(r for _, r in c.values())
+
+
 def test_stream_dedup(spark, tmp_path):
     from loomsieve.streaming.dedup import first_in_stream
 
