@@ -71,7 +71,7 @@ def review_sheet(sample: DataFrame, path: str, blanks: tuple[str, ...] = ("tone"
 
 def seed_document(seeds: DataFrame, path: str, **header: object) -> None:
     """Seeds as JSON Lines with a header object beside them in <path>.header.json."""
-    jsonl(seeds.coalesce(1) if seeds.rdd.getNumPartitions() == 1 else seeds, path)
+    jsonl(seeds, path)
     head = dict(header) | {"total": seeds.count(), "base_topics": seeds.select("base_seed_id").distinct().count()}
     _put(seeds.sparkSession, f"{path}.header.json", json.dumps(head, ensure_ascii=False, indent=2).encode())
 

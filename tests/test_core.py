@@ -248,6 +248,27 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r.norm for r in readers.legacy_texts(legacy).collect()] == ["a b", "x y"]
 
 
+def test_small_pieces(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps([{"id": "p1", "name": "가"}, {"id": "p2", "name": "나"}], ensure_ascii=False))
+    assert readers.json_document(spark, f"{tmp_path}/d.json", "id string, name string").count() == 2
+    assert readers.config(f"{tmp_path}/d.json")[0]["id"] == "p1"
+    cases = readers.rows_of(spark, [("a", 0), ("b", 4)], "x string, i int")
+    got = cases.select(T.cyclic_pick(["u", "v", "w"], F.col("i")).alias("c"), T.hashed_pick(["u", "v"], F.col("x"), 1).alias("h")).collect()
+    assert [r.c for r in got] == ["u", "v"] and all(r.h in "uv" for r in got)
+    curve = spark.createDataFrame([(1, 0.5), (3, 0.7), (2, 0.2)], "step int, loss double")
+    assert tuple(stats.last_by(curve, "loss", "step").first()) == (0.2, 0.7)
+    assert [(r.step, r.a, r.b) for r in writers.full_outer_curves(curve, curve.where("step < 3").union(spark.createDataFrame([(9, 1.0)], curve.schema))).orderBy("step").collect()][2:] == [(3, "0.7000", "—"), (9, "—", "1.0000")]
+    cols = sorted({c for s in TASKS.values() for c in (*s.texts, *(x for _, x in s.prompt))})
+    ask = spark.createDataFrame([("retry", *(None for _ in cols)), ], "task_type string, " + ", ".join(f"{c} string" for c in cols))
+    out = chatml.request_messages(ask, {"retry": "s"}).first().messages
+    assert [m.role for m in out] == ["system", "user"] and out[1].content.endswith("too_short")
+    with pytest.raises(Exception, match="unknown task"):
+        chatml.request_messages(ask.withColumn("task_type", F.lit("nope")), {}).collect()
+    writers.seed_document(spark.createDataFrame([("s", "b")], "seed_id string, base_seed_id string"), f"{tmp_path}/seeds", seeds_per_combo=10)
+    assert json.loads((tmp_path / "seeds.header.json").read_text()) == {"seeds_per_combo": 10, "total": 1, "base_topics": 1}
+    assert "seed_id" in writers.shown(spark.read.json(f"{tmp_path}/seeds"))
+
+
 def test_rules(spark):
     m = spark.createDataFrame([("starting_phrase_top1", "a", 0.3), ("starting_phrase_top1", "b", 0.2), ("leakage", "x", 1.0), ("latency_p95", None, 3.0)], "metric string, key string, value double")
     assert {(r.metric, r.key) for r in quality.violations(m).collect()} == {("latency_p95", None), ("leakage", "x"), ("starting_phrase_top1", "a")}
