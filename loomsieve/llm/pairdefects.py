@@ -28,19 +28,29 @@ from loomsieve.storage import materialize
 
 # Words that stand for no answer (bare form).
 NO_ANSWER = {"없음", "응답없음", "답변없음", "무응답", "해당없음", "내용없음", "na", "none", "null", "nil", "nan", "empty", "noanswer", "noresponse", "undefined", "なし", "無", "无", "無回答", "没有", "ninguno", "nenhum", "keine", "không", "нет"}
-# Ways to decline a task, by language.
-REFUSALS = [
-    r"수 없(습니다|어요|네요|음)|도와드리기 어렵|도와 ?드릴 수 없|진행이 불가능|불가능합니다|거절할 수밖에|거절하겠|응답하지 않겠|답변하지 않겠|다룰 수 없어|언어 모델이라|인공지능이라|정책에 맞지 않아|안전상의 이유로",
-    r"\b(i|we) (must|have to|need to) (decline|refuse)|\b(can ?not|can['’]?t|could not|unable to|won['’]t be able to|not able to|will not|won['’]t) (help|assist|comply|answer|respond|provide|comment|write|fulfil|fulfill|do that|continue|complete|create|discuss|share)|\bas an? (ai|artificial|language model)",
-    r"お(答え|手伝い|応え)?(する|が)?(こと)?(は|が)?でき(ません|かねます)|お断り|いたしかねます|言語モデル|回答(は|を)?(控え|差し控え)|対応できません|申し訳(ありません|ございません)",
-    r"(无法|不能|不便|拒绝)(为您|帮|协助|回答|提供|完成|满足|处理|回应|写|讨论|继续)|抱歉，|对不起，|语言模型|人工智能模型",
-    r"no puedo (ayudar|responder|cumplir|hacer|escribir|atender|contestar|continuar|completar)|lo siento, (pero )?no|debo (rechazar|negarme)|como modelo de|no me es posible|me temo que no",
-    r"não posso (ajudar|responder|atender|cumprir|fazer|escrever|continuar|completar)|(desculpe|sinto muito|lamento), (mas )?(não|eu não)|como (um )?modelo de|preciso recusar|não (é|me é) possível",
-    r"(kann|darf|möchte|werde) ich (leider |dabei |dir |ihnen |das )*(nicht|keine)|ich (kann|darf) (leider |dabei |ihnen |dir |das |diese |darauf )*(nicht|keine)|tut mir leid|muss ich (leider )?ablehnen|als (ki|sprachmodell)",
-    r"(tôi |mình )?không thể (giúp|trả lời|hỗ trợ|thực hiện|viết|đáp ứng|làm|cung cấp|tiếp tục)|xin lỗi,? (nhưng )?tôi|mô hình ngôn ngữ|tôi (xin|phải) từ chối",
-    r"не (могу|смогу|можем) (помочь|ответить|выполнить|написать|сделать|обсуждать|продолжить|предоставить)|извините,? (но )?я не|вынужден(а)? отказать|языков(ая|ой) модел|к сожалению, я не",
-]
-REFUSAL = re.compile("|".join(REFUSALS), re.IGNORECASE)
+# Ways to decline a task, by script, and what a text must hold to be searched.
+REFUSALS = {
+    "[가-힣]": [r"수 없(습니다|어요|네요|음)|도와드리기 어렵|도와 ?드릴 수 없|진행이 불가능|불가능합니다|거절할 수밖에|거절하겠|응답하지 않겠|답변하지 않겠|다룰 수 없어|언어 모델이라|인공지능이라|정책에 맞지 않아|안전상의 이유로"],
+    "[\u3040-\u30ff\u4e00-\u9fff]": [
+        r"お(答え|手伝い|応え)?(する|が)?(こと)?(は|が)?でき(ません|かねます)|お断り|いたしかねます|言語モデル|回答(は|を)?(控え|差し控え)|対応できません|申し訳(ありません|ございません)",
+        r"(无法|不能|不便|拒绝)(为您|帮|协助|回答|提供|完成|满足|处理|回应|写|讨论|继续)|抱歉，|对不起，|语言模型|人工智能模型",
+    ],
+    "[\u0400-\u04ff]": [r"не (могу|смогу|можем) (помочь|ответить|выполнить|написать|сделать|обсуждать|продолжить|предоставить)|извините,? (но )?я не|вынужден(а)? отказать|языков(ая|ой) модел|к сожалению, я не"],
+    r"(?:[A-Za-z\u00c0-\u024f\u1e00-\u1eff'’]+ ){2}": [
+        r"\b(i|we) (must|have to|need to) (decline|refuse)|\b(can ?not|can['’]?t|could not|unable to|won['’]t be able to|not able to|will not|won['’]t) (help|assist|comply|answer|respond|provide|comment|write|fulfil|fulfill|do that|continue|complete|create|discuss|share)|\bas an? (ai|artificial|language model)",
+        r"no puedo (ayudar|responder|cumplir|hacer|escribir|atender|contestar|continuar|completar)|lo siento, (pero )?no|debo (rechazar|negarme)|como modelo de|no me es posible|me temo que no",
+        r"não posso (ajudar|responder|atender|cumprir|fazer|escrever|continuar|completar)|(desculpe|sinto muito|lamento), (mas )?(não|eu não)|como (um )?modelo de|preciso recusar|não (é|me é) possível",
+        r"(kann|darf|möchte|werde) ich (leider |dabei |dir |ihnen |das )*(nicht|keine)|ich (kann|darf) (leider |dabei |ihnen |dir |das |diese |darauf )*(nicht|keine)|tut mir leid|muss ich (leider )?ablehnen|als (ki|sprachmodell)",
+        r"(tôi |mình )?không thể (giúp|trả lời|hỗ trợ|thực hiện|viết|đáp ứng|làm|cung cấp|tiếp tục)|xin lỗi,? (nhưng )?tôi|mô hình ngôn ngữ|tôi (xin|phải) từ chối",
+    ],
+}
+_REFUSALS = [(re.compile(k), re.compile("|".join(v), re.IGNORECASE)) for k, v in REFUSALS.items()]
+
+
+def refuses(text: str) -> bool:
+    return any(has.search(text) and said.search(text) for has, said in _REFUSALS)
+
+
 # Function words that tell languages of Latin script apart.
 FUNCTION_WORDS = {
     "en": "the of and was is this that my i it when with would you a but we to so in for although because about still again how did could less than after during".split(),
@@ -147,11 +157,22 @@ def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray | None) -
     return x if d is None else x * np.uint64(0x9E3779B97F4A7C15) + (d << np.uint64(1))
 
 
+_MASK = (1 << 64) - 1
+
+
 def _key(tail: str, n: int, title: bool) -> int | None:
+    """The hash that _grams gives to the last n characters."""
     if len(tail) < n:
         return None
-    c = [np.full(1, ord(x), np.uint64) for x in tail[-n:]]
-    return int(mix(_packed(c[0], c[1], c[2], c[3] if n == 4 else None) + np.uint64(title)).view(np.int64)[0])
+    c = [ord(x) for x in tail[-n:]]
+    x = c[0] << 42 | c[1] << 21 | c[2]
+    if n == 4:
+        x = x * 0x9E3779B97F4A7C15 + (c[3] << 1)
+    x = (x + title) & _MASK
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
+    x ^= x >> 31
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _is_copy(bare: str, asked: list[str]) -> bool:
@@ -191,7 +212,7 @@ def _judged(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.
             said, defect, open_ = plain[comment], None, False
             if not all_ or all_ in NO_ANSWER or (state == "object" and (not own or own in NO_ANSWER)):
                 defect = "empty"
-            elif REFUSAL.search(said):
+            elif refuses(said):
                 defect = "refusal"
             elif _is_copy(own, prompts) or _is_copy(all_, prompts):
                 defect = "copy"
