@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomsieve.llm import crosssplit, groupsplit, language, ledger, mixing, neardup, packing, pairdefects, repetition, textform, tokens
+from loomsieve.llm import crosssplit, groupsplit, language, ledger, mixing, neardup, oracles, packing, pairdefects, repetition, textform, tokens
 
 RECORDS, SAMPLES, LINES, DOCUMENTS = "generate_data_v3", "eval_samples", "raw_lines", "documents"
 
@@ -158,4 +158,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; the rest is tested against brute force."""
+    return oracles.all_sql()
