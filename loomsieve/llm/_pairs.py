@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomsieve.storage import materialize
+
 #: Copies of one text that are paired with every partner; later copies are linked to
 #: the first record of the partner's class alone (no link between classes is lost).
 LINKED = 64
 
 
 def ranked(members: DataFrame, by: list[str]) -> DataFrame:
-    """members (.., id) with n, the place of id in its class."""
-    return members.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("id")))
-
-
-def linked(a: str = "a", b: str = "b", most: int = LINKED):  # noqa: ANN201
-    """Condition on two ranked members: both among the first ``most``, or one the first."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return ((na <= most) & (nb <= most)) | (na == 1) | (nb == 1)
+    """members (.., id) with n, the place of id in its class, written once."""
+    return materialize(members.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))), "members")
 
 
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -26,11 +22,36 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def expand_classes(members: DataFrame, key: list[str], form: str, most: int = LINKED) -> DataFrame:
-    """Pairs of members that share ``key`` but not ``form``."""
-    m = ranked(members, [*key, form])
-    a, b = m.alias("a"), m.alias("b")
-    on = linked(most=most) & (F.col(f"a.{form}") < F.col(f"b.{form}"))
-    for k in key:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return ordered_pairs(a.join(b, on).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")))
+def within_classes(members: DataFrame, key: list[str], form: str | None = None) -> DataFrame:
+    """(x, y): members of ranked ``members`` that share ``key`` (and, if given, not
+    ``form``). The first LINKED meet each other, later ones the first alone, so a join
+    never compares two hot sides."""
+    few, late, first = members.where(F.col("n") <= LINKED), members.where(F.col("n") > LINKED), members.where("n = 1")
+
+    def met(a: DataFrame, b: DataFrame, each: bool) -> DataFrame:
+        a, b = a.alias("a"), b.alias("b")
+        on = (F.col(f"a.{form}") != F.col(f"b.{form}")) if form else F.lit(True)
+        for k in key:
+            on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+        if each:
+            on = on & (F.col(f"a.{form or 'id'}") < F.col(f"b.{form or 'id'}"))
+        return a.join(b, on).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+
+    pairs = met(few, few, True)
+    return pairs if late.isEmpty() else pairs.union(met(late, first, False))
+
+
+def across_classes(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y): ranked members (h, id, n) of the two classes of each link (a, b)."""
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = a.select(F.col("h").alias("a"), F.col("id").alias("x")), b.select(F.col("h").alias("b"), F.col("id").alias("y"))
+        return links.join(a, "a").join(b, "b").select("x", "y")
+
+    few, first, late = (F.col("n") <= LINKED), (F.col("n") == 1), (F.col("n") > LINKED)
+    pairs = met(left.where(few), right.where(few))
+    if not left.where(late).isEmpty():
+        pairs = pairs.union(met(left.where(late), right.where(first)))
+    if not right.where(late).isEmpty():
+        pairs = pairs.union(met(left.where(first), right.where(late)))
+    return pairs

@@ -8,11 +8,11 @@ trimmed and in lower case. An empty table gives empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsieve.llm import textform
-from loomsieve.llm._pairs import linked
+from loomsieve.llm._pairs import across_classes, ranked
 from loomsieve.llm.nearpairs import class_links
 from loomsieve.llm.sketches import minwise
 from loomsieve.storage import materialize
@@ -36,10 +36,9 @@ def cross_split_pairs(df: DataFrame, id_col: str, fields: list[str], split_col:
     units = materialize(units, "units")
     pairs = materialize(class_links(units, minwise, least=least, bands=BANDS, rows=ROWS, cross=True), "links")
     members = units.select("id", "side", "h").dropDuplicates(["id", "side", "h"])
-    of = lambda side, key: members.where(F.col("side") == side).join(pairs.select(F.col(key).alias("h")).distinct(), "h", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id")))
-    a, b = of(0, "a").alias("a"), of(1, "b").alias("b")
-    out = pairs.alias("p").join(a, F.col("p.a") == F.col("a.h")).join(b, (F.col("p.b") == F.col("b.h")) & linked())
-    return out.select(F.col("a.id").alias("train_id"), F.col("b.id").alias("eval_id")).distinct()
+    of = lambda side, key: ranked(members.where(F.col("side") == side).join(pairs.select(F.col(key).alias("h")).distinct(), "h", "left_semi"), ["h"])
+    out = across_classes(pairs, of(0, "a"), of(1, "b"))
+    return out.select(F.col("x").alias("train_id"), F.col("y").alias("eval_id")).distinct()
 
 
 def overlap_report(df: DataFrame, pairs: DataFrame, id_col: str, split_col: str = "split", source_col: str = "source") -> DataFrame:

@@ -8,11 +8,11 @@ result; columns that aren't named aren't read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsieve.llm import textform
-from loomsieve.llm._pairs import linked, ordered_pairs
+from loomsieve.llm._pairs import across_classes, ordered_pairs, ranked, within_classes
 from loomsieve.llm.nearpairs import class_links
 from loomsieve.llm.sketches import fast_sketch
 from loomsieve.storage import materialize
@@ -58,8 +58,5 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], least: f
     members = units.select("id", "h")
     copied = members.groupBy("h").count().where("count > 1").select("h")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).union(copied).distinct()
-    members = members.join(wanted, "h", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id")))
-    a, b = members.alias("a"), members.alias("b")
-    same = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & linked()).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    other = pairs.alias("p").join(a, F.col("p.a") == F.col("a.h")).join(b, (F.col("p.b") == F.col("b.h")) & linked()).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    return ordered_pairs(same.union(other))
+    members = ranked(members.join(wanted, "h", "left_semi"), ["h"])
+    return ordered_pairs(within_classes(members, ["h"]).union(across_classes(pairs, members, members)))

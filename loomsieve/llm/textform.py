@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomsieve.llm._pairs import LINKED, expand_classes
+from loomsieve.llm._pairs import ordered_pairs, ranked, within_classes
 
 # Characters without a shape of their own.
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
@@ -151,4 +151,4 @@ def lookalike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     keyed = formed.select("id", F.xxhash64("field", "plain").alias("k"), F.xxhash64(F.lit(7), "plain", "field").alias("k2"), F.xxhash64("text").alias("form"))
     several = keyed.groupBy("k", "k2").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select("k", "k2")
     members = keyed.join(several, ["k", "k2"], "left_semi").dropDuplicates(["k", "k2", "form", "id"])
-    return expand_classes(members, ["k", "k2"], "form", LINKED)
+    return ordered_pairs(within_classes(ranked(members, ["k", "k2", "form"]), ["k", "k2"], "form"))
