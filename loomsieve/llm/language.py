@@ -107,6 +107,8 @@ class Tagger:
     def tag(self, texts: list[str]) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
         """(language, confidence, lines) of each text; lines (number, language,
         confidence) of the non-blank ones, empty unless the text is mixed."""
+        if not self.langs:
+            return [(None, 0.0, []) for _ in texts]
         owner, logits, letters = self.lines_of(texts)
         p = _softmax(logits)
         best, sure = p.argmax(1), p.max(1)
@@ -191,7 +193,8 @@ def train(texts: list[str], labels: list[str], langs: list[str]) -> Tagger:
 
 def fit_tagger(df: DataFrame, id_col: str, text_col: str, label_col: str, codes: dict[str, str], sample: int = SAMPLE) -> Tagger:
     """Train on at most about ``sample`` labelled documents of each language of ``codes``
-    (code to name). Raises ValueError if no language has labelled text."""
+    (code to name). Without any labelled text the tagger knows no language, and every
+    text has language null."""
     names = {v.lower(): k for k, v in codes.items()}
     spellings = df.groupBy(F.col(f"`{label_col}`").alias("label")).count().collect()
     meant = {r.label: c for r in spellings if (c := label_code(r.label, names)) in codes}
@@ -200,7 +203,7 @@ def fit_tagger(df: DataFrame, id_col: str, text_col: str, label_col: str, codes:
         if r.label in meant:
             n[meant[r.label]] = n.get(meant[r.label], 0) + r["count"]
     if not n:
-        raise ValueError("no labelled text to learn languages from")
+        return Tagger([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     share = df.sparkSession.createDataFrame([(lab, c, min(1.0, sample / n[c])) for lab, c in meant.items()], "label string, code string, share double")
     rows = df.select(F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(10)).alias("h"))
     rows = rows.join(F.broadcast(share), "label").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)

@@ -306,6 +306,7 @@ def test_pack(spark, monkeypatch):
                 assert r.bin is None
         assert max(fill.values()) <= cap and len(fill) <= 1.05 * -(-sum(fill.values()) // cap) + 1
     assert {r.container for r in out} == {"s", "l"}
+    assert packing.pack(sizes, spark.createDataFrame([], "container string, capacity int")).count() == 0
     empty = packing.pack(sizes.limit(0), spark.createDataFrame([("s", 512)], "container string, capacity int"))
     assert empty.count() == 0
 
@@ -369,5 +370,5 @@ def test_languages(spark):
     assert found == [(900, 1, "ko"), (900, 3, "en"), (900, 4, "en"), (903, 0, "ko"), (904, 0, "de")] or found == [(900, 1, "ko"), (900, 3, "en"), (900, 4, "ko"), (903, 0, "ko"), (904, 0, "de")]
     assert {i: x for i, x in top if i in (901, 902, 905)} == {901: None, 902: None, 905: None}
     assert language.tag_languages(df.limit(0), "doc", "t", "lab", CODES, tagger).count() == 0
-    with pytest.raises(ValueError):
-        language.fit_tagger(df.limit(0), "doc", "t", "lab", CODES)
+    nothing = language.fit_tagger(df.limit(0), "doc", "t", "lab", CODES)
+    assert {r.lang for r in language.tag_languages(df, "doc", "t", "lab", CODES, nothing).collect()} == {None}
