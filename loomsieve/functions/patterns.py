@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# What the reference semantics call white space.
+# What counts as white space.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 STRIP = f"^{SPACE}+|{SPACE}+$"
