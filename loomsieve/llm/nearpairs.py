@@ -138,6 +138,7 @@ def class_links(units: DataFrame, sketcher: Sketcher, *, least: float, bands: in
     on both sides is linked to itself)."""
     parts = max(1, -(-units.count() * bands // TASK_ENTRIES))
     packed = units.select("h", "salt", "side", "bare").mapInArrow(lambda it: _bands(it, sketcher, bands, rows, parts), "part int, entries binary")
+    packed = packed.repartitionById(parts, "part")  # a task for each part, so tasks don't grow with the input
     found = materialize(packed.groupBy("part").applyInArrow(lambda t: _pairs(t, cross), "run long, a long, b long"), "candidates")
     text = units.groupBy("h").agg(F.first("bare").alias("bare"))
     cold = found.where("run IS NULL").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
