@@ -82,18 +82,27 @@ def intra_group_cosine(df: DataFrame, group_col: str, vec_col: str) -> DataFrame
     return out.select("s.grp", "n", ((F.col("all") - F.col("own")) / (F.col("n") * (F.col("n") - 1))).alias("cosine"))
 
 
-def violations(metrics: DataFrame, pilot: bool = False, rules: list[tuple[str, str, float, float | None]] = RULES) -> DataFrame:
-    """(metric, key, value, op, limit) of the metrics (metric, key, value) that break a
-    rule; no row means GO."""
+def evaluated(metrics: DataFrame, pilot: bool = False, rules: list[tuple[str, str, float, float | None]] = RULES) -> DataFrame:
+    """(metric, key, value, op, limit, status) of every rule for each key of its metric
+    (metric, key, value): kept, broken, or not evaluated where there is no value."""
     given = [(m, op, float(p if pilot else x)) for m, op, x, p in rules if not (pilot and p is None)]
     table = metrics.sparkSession.createDataFrame(given, "metric string, op string, `limit` double")
     v, lim, op = F.col("value"), F.col("limit"), F.col("op")
     ok = F.when(op == "<=", v <= lim).when(op == ">=", v >= lim).otherwise(v < lim)
-    return metrics.join(F.broadcast(table), "metric").where(~ok).select("metric", "key", "value", "op", "limit")
+    status = F.when(v.isNull(), "not evaluated").when(ok, "kept").otherwise("broken")
+    return metrics.join(F.broadcast(table), "metric", "right").select("metric", "key", "value", "op", "limit", status.alias("status"))
+
+
+def violations(metrics: DataFrame, pilot: bool = False, rules: list[tuple[str, str, float, float | None]] = RULES) -> DataFrame:
+    """(metric, key, value, op, limit) of the metrics (metric, key, value) that break a
+    rule. A rule without a metric gives no row here, but one of ``evaluated``."""
+    return evaluated(metrics, pilot, rules).where("status = 'broken'").drop("status")
 
 
 def verdict(metrics: DataFrame, pilot: bool = False) -> DataFrame:
-    """(status, reasons): PASS or FAIL with the messages of the broken rules."""
-    bad = violations(metrics, pilot)
+    """(status, reasons, not_evaluated): PASS or FAIL with the messages of the broken
+    rules, and the rules that nothing is known of; PASS is of the others alone."""
     said = F.format_string("%s[%s] not %s %s", F.col("metric"), F.coalesce("key", F.lit("")), F.col("op"), F.col("limit").cast("string"))
-    return bad.agg(F.sort_array(F.collect_list(said)).alias("reasons")).select(F.when(F.size("reasons") == 0, "PASS").otherwise("FAIL").alias("status"), "reasons")
+    of = lambda status, x: F.sort_array(F.collect_list(F.when(F.col("status") == status, x)))
+    lists = evaluated(metrics, pilot).agg(of("broken", said).alias("reasons"), F.array_distinct(of("not evaluated", F.col("metric"))).alias("not_evaluated"))
+    return lists.select(F.when(F.size("reasons") == 0, "PASS").otherwise("FAIL").alias("status"), "reasons", "not_evaluated")

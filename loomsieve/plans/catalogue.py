@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomsieve.functions import patterns as P
@@ -234,19 +234,43 @@ def seed_usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.usage_stats(table(spark, sf_dir, "seed"), ["base_seed_id"]).withColumn("mean", F.round("mean", 6))
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _long(df: DataFrame, metric: str, key: Column, value: Column) -> DataFrame:
+    return df.select(F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+
+
+def _sql_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics that the SQL of go_report has."""
     rows = spl(spark, sf_dir)
-    long = lambda df, metric, key, value: df.select(F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))
     none = F.lit(None)
     start, combo = quality.starting_phrases(rows, quality_text()), quality.combo_balance(rows, "persona_id", "occasion_id")
-    out = long(start, "starting_phrase_top1", F.col("task_type"), F.col("top1"))
+    out = _long(start, "starting_phrase_top1", F.col("task_type"), F.col("top1"))
+    for part in (
+        _long(start, "first_3words_unique", F.col("task_type"), F.col("unique3")),
+        _long(quality.leakage(rows, "base"), "leakage", F.concat_ws("-", "split_a", "split_b"), F.col("shared")),
+        _long(quality.ratio_edges(quality.task_ratios(rows)), "task_ratio_edge", F.col("task_type"), F.col("edge")),
+        _long(combo, "persona_occasion_combos", none, F.col("combos")),
+        _long(combo, "persona_occasion_std_ratio", none, F.col("std_ratio")),
+        _long(quality.intra_group_cosine(table(spark, sf_dir, "embeddings"), "label", "embedding").agg(F.avg("cosine").alias("c")), "intra_group_cosine", none, F.col("c")),
+    ):
+        out = out.union(part)
+    return out
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of every rule but the human ratings, which have no table."""
+    none = F.lit(None)
+    # means and maxima of the groups first, as the original takes them by task
+    xsim = _xsim(spark, sf_dir).groupBy("grp").agg(F.avg("nearest").alias("mean"), F.max("nearest").alias("most")).agg(F.avg("mean").alias("mean"), F.max("most").alias("most"))
+    rates = scoring.response_metrics(samples(spark, sf_dir).where("task = 'response'")).where("total_evaluated > 0")
+    names = [c for c in rates.columns if c != "total_evaluated"]
+    rates = rates.selectExpr(f"stack({len(names)}, {', '.join(f"'{c}', CAST({c} AS DOUBLE)" for c in names)}) AS (rate, value)")
+    out = _sql_metrics(spark, sf_dir)
     for part in (
-        long(start, "first_3words_unique", F.col("task_type"), F.col("unique3")),
-        long(quality.leakage(rows, "base"), "leakage", F.concat_ws("-", "split_a", "split_b"), F.col("shared")),
-        long(quality.ratio_edges(quality.task_ratios(rows)), "task_ratio_edge", F.col("task_type"), F.col("edge")),
-        long(combo, "persona_occasion_combos", none, F.col("combos")),
-        long(combo, "persona_occasion_std_ratio", none, F.col("std_ratio")),
-        long(quality.intra_group_cosine(table(spark, sf_dir, "embeddings"), "label", "embedding").agg(F.avg("cosine").alias("c")), "intra_group_cosine", none, F.col("c")),
+        _long(variation_combos(spark, sf_dir), "variation_combos", none, F.col("combos")),
+        _long(xsim, "xsim_avg", none, F.col("mean")),
+        _long(xsim, "xsim_max", none, F.col("most")),
+        _long(rates, "auto_eval_rate", F.col("rate"), F.col("value")),
+        _long(stats.nearest_rank(table(spark, sf_dir, "events"), "value", [0.95]), "latency_p95", none, F.col("value")),
     ):
         out = out.union(part)
     return out
@@ -265,8 +289,15 @@ m AS (SELECT 'starting_phrase_top1' AS metric, task_type AS key, top1 AS value F
 ru AS (SELECT * FROM (VALUES {', '.join(f"('{m}', '{op}', CAST({x} AS DOUBLE))" for m, op, x, _ in quality.RULES)}) v(metric, op, lim))
 SELECT metric, key, round(value, 6) AS value, op, lim AS "limit" FROM m JOIN ru USING (metric) WHERE NOT (CASE op WHEN '<=' THEN value <= lim WHEN '>=' THEN value >= lim ELSE value < lim END)""")
 def go_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The broken rules; none means GO."""
-    return quality.violations(_metrics(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    """The broken ones of the rules that its SQL states (R1-R5, R7, R8); go_rules has all
+    rules, go_verdict decides by all."""
+    return quality.violations(_sql_metrics(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@_query()
+def go_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule for each key: kept, broken or not evaluated."""
+    return quality.evaluated(_metrics(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
 @_query()

@@ -276,6 +276,24 @@ def test_rules(spark):
     assert quality.verdict(m).first().status == "FAIL" and quality.verdict(m.limit(0)).first().status == "PASS"
 
 
+def test_every_rule_is_evaluated(spark):
+    from loomsieve.plans import catalogue
+
+    m = spark.createDataFrame([("variation_combos", None, 16.0), ("leakage", "a", 0.0), ("xsim_avg", None, None)], "metric string, key string, value double")
+    got = {r.metric: r.status for r in quality.evaluated(m).collect()}
+    assert got.pop("variation_combos") == "broken" and got.pop("leakage") == "kept" and set(got.values()) == {"not evaluated"} and len(got) == len(quality.RULES) - 2
+    v = quality.verdict(m).first()
+    assert v.status == "FAIL" and v.reasons == ["variation_combos[] not >= 30.0"] and v.not_evaluated == sorted(got)
+    sf = "/root/testdata/sf0.001"
+    rules = catalogue.queries()["go_rules"](spark, sf).collect()
+    assert {r.metric for r in rules if r.status == "not evaluated"} == {"human_good", "human_bad"}
+    broken = {(r.metric, r.key): r.value for r in rules if r.status == "broken"}
+    assert broken["variation_combos", None] == 16 and broken["latency_p95", None] == 145.46 and broken["auto_eval_rate", "comment_length_ok"] == 38.80597
+    assert {r.metric for r in rules if r.status == "kept"} >= {"xsim_avg", "xsim_max", "auto_eval_rate"}
+    v = catalogue.queries()["go_verdict"](spark, sf).first()
+    assert len(v.reasons) == len(broken) and v.not_evaluated == ["human_bad", "human_good"] and "latency_p95[] not < 3.0" in v.reasons
+
+
 def test_curation_counts_telescope(spark):
     from loomsieve.plans.pipeline import CurationConfig, curate
 
