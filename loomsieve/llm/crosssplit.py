@@ -25,30 +25,70 @@ def _split(split_col: str) -> Column:
     return F.lower(F.trim(F.col(f"`{split_col}`")))
 
 
-def cross_split_pairs(df: DataFrame, id_col: str, fields: list[str], split_col: str = "split", train: str = "train", least: float = LIKENESS) -> DataFrame:
-    """Operator: (train_id, eval_id), every confirmed overlap of a training record and a
-    record of another split, over all texts of ``fields`` against each other."""
+def _linked(df: DataFrame, id_col: str, fields: list[str], split_col: str, train: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, side, h) of the texts, side 0 in training, and the links (a, b) from texts of
+    side 0 to texts of side 1."""
     split = _split(split_col)
     ids = df.where(split.isNotNull() & (split != ""))
     both = ids.select(((F.col(f"`{id_col}`").cast("long") * 2) + F.when(split == train, 0).otherwise(1)).alias("id"), *(F.col(f"`{c}`") for c in fields))
     formed = textform.with_forms(textform.long_units(both, "id", fields), plain=False).where("bare <> ''")
     units = formed.select(F.shiftright("id", 1).alias("id"), F.lit(0).alias("salt"), F.col("id").bitwiseAND(1).cast("int").alias("side"), F.xxhash64("bare").alias("h"), "bare")
     units = materialize(units, "units")
-    pairs = materialize(class_links(units, minwise, least=least, bands=BANDS, rows=ROWS, cross=True), "links")
-    members = units.select("id", "side", "h").dropDuplicates(["id", "side", "h"])
-    of = lambda side, key: ranked(members.where(F.col("side") == side).join(pairs.select(F.col(key).alias("h")).distinct(), "h", "left_semi"), ["h"])
-    out = across_classes(pairs, of(0, "a"), of(1, "b"))
+    links = materialize(class_links(units, minwise, least=least, bands=BANDS, rows=ROWS, cross=True), "links")
+    return units.select("id", "side", "h").dropDuplicates(["id", "side", "h"]), links
+
+
+def _of_links(members: DataFrame, links: DataFrame, side: int, key: str) -> DataFrame:
+    return members.where(F.col("side") == side).join(links.select(F.col(key).alias("h")).distinct(), "h", "left_semi")
+
+
+def cross_split_pairs(df: DataFrame, id_col: str, fields: list[str], split_col: str = "split", train: str = "train", least: float = LIKENESS) -> DataFrame:
+    """Operator: (train_id, eval_id), every confirmed overlap of a training record and a
+    record of another split, over all texts of ``fields`` against each other. Copies
+    beyond the first LINKED of a text are paired with the first of each linked text."""
+    members, links = _linked(df, id_col, fields, split_col, train, least)
+    out = across_classes(links, ranked(_of_links(members, links, 0, "a"), ["h"]), ranked(_of_links(members, links, 1, "b"), ["h"]))
     return out.select(F.col("x").alias("train_id"), F.col("y").alias("eval_id")).distinct()
 
 
+def overlap_counts(df: DataFrame, id_col: str, fields: list[str], split_col: str = "split", train: str = "train", least: float = LIKENESS) -> DataFrame:
+    """Operator: (eval_id, n), to how many training records each evaluation record is
+    linked, all copies counted, without making the pairs.
+
+    Records with the same linked texts are one set with a size. The training records
+    that some text of an evaluation record links are counted by inclusion and exclusion
+    over its texts: those of each text, less those of each two, and so on. Tables grow
+    with the sets and their links, never with two hot sides.
+    """
+    members, links = _linked(df, id_col, fields, split_col, train, least)
+    sets = lambda side, key: _of_links(members, links, side, key).groupBy("id").agg(F.array_sort(F.collect_set("h")).alias("of"))
+    evals = materialize(sets(1, "b"), "evals")
+    trained = sets(0, "a").groupBy("of").agg(F.count("*").alias("m"))
+    reached = materialize(trained.select("of", "m", F.explode("of").alias("a")).join(links, "a").select("of", "m", "b").distinct(), "reached")
+    subsets = F.expr("aggregate(of, array(cast(array() as array<bigint>)), (s, x) -> concat(s, transform(s, t -> concat(t, array(x)))))")
+    wanted = evals.select("of").distinct().select("of", F.explode(subsets).alias("t")).where("size(t) > 0")
+    shared = wanted.where("size(of) > 1").select(F.explode("of").alias("b")).distinct()
+    more = reached.join(shared, "b", "left_semi").select("of", "m", "b")
+    count = lambda step: step.groupBy("t").agg(F.sum("m").alias("n"))
+    counts, step = count(reached.select("m", F.array("b").alias("t"))), more.select("of", "m", F.array("b").alias("t"))
+    for k in range(2, len(fields) + 1):
+        longer = step.join(more.select("of", "b"), "of").where("b > element_at(t, -1)").select("of", "m", F.concat("t", F.array("b")).alias("t"))
+        step = longer.join(wanted.where(F.size("t") == k).select("t").distinct(), "t", "left_semi").select("of", "m", "t")
+        counts = counts.union(count(step))
+    signed = F.when(F.size("t") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
+    n = wanted.join(counts, "t").groupBy("of").agg(F.sum(signed).alias("n"))
+    return evals.join(n, "of").select(F.col("id").alias("eval_id"), "n")
+
+
 def overlap_report(df: DataFrame, pairs: DataFrame, id_col: str, split_col: str = "split", source_col: str = "source") -> DataFrame:
     """Operator: (split, source, records, overlapping, pairs) of the evaluation splits.
 
+    pairs: overlap_counts (eval_id, n), which counts every copy, or a list of pairs.
     records: rows with this split and source (null source is a source of its own);
     overlapping: those with a confirmed overlap; pairs: all their overlaps.
     """
     split = _split(split_col)
     rows = df.where(split.isNotNull() & (split != "") & (split != "train")).select(F.col(f"`{id_col}`").cast("long").alias("eval_id"), split.alias("split"), F.col(f"`{source_col}`").alias("source"))
-    hits = pairs.groupBy("eval_id").agg(F.count("*").alias("n"))
+    hits = pairs if "n" in pairs.columns else pairs.groupBy("eval_id").agg(F.count("*").alias("n"))
     joined = rows.join(hits, "eval_id", "left")
     return joined.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))

@@ -55,7 +55,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed cross-split overlaps by split and source."""
     records = table(spark, sf_dir, RECORDS)
-    return crosssplit.overlap_report(records, crosssplit.cross_split_pairs(records, "ord", ["comment", "message"]), "ord")
+    return crosssplit.overlap_report(records, crosssplit.overlap_counts(records, "ord", ["comment", "message"]), "ord")
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[ledger.Ledger, DataFrame]:

@@ -161,6 +161,23 @@ def test_cross_split(spark):
     assert crosssplit.cross_split_pairs(df.limit(0), "ord", ["a", "b"]).count() == 0
 
 
+def test_overlaps_of_hot_copies_are_all_counted(spark, monkeypatch):
+    hot = "the same answer stands in very many records of both splits"
+    df = spark.createDataFrame([(i, hot, None, ("train", "val")[i % 2], "s") for i in range(200)], "ord long, a string, b string, split string, source string")
+    r = crosssplit.overlap_report(df, crosssplit.overlap_counts(df, "ord", ["a", "b"]), "ord").collect()
+    assert [(x.split, x.records, x.overlapping, x.pairs) for x in r] == [("val", 100, 100, 10_000)]
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(4)]
+    texts = [None, *base, *(x[:-1] + "z" for x in base), *(x + "q" for x in base)]
+    fields = ["a", "b", "c"]
+    df = spark.createDataFrame([(i, *(rng.choice(texts) for _ in fields), rng.choice(["train", "val", "test"])) for i in range(300)], "ord long, a string, b string, c string, split string")
+    monkeypatch.setattr(_pairs, "LINKED", 10**6)
+    for f in (fields[:1], fields[:2], fields):
+        want = {x.eval_id: x["count"] for x in crosssplit.cross_split_pairs(df, "ord", f).groupBy("eval_id").count().collect()}
+        assert want and {x.eval_id: x.n for x in crosssplit.overlap_counts(df, "ord", f).collect()} == want
+    assert crosssplit.overlap_counts(df.limit(0), "ord", fields).count() == 0
+
+
 # ---- 3
 
 
