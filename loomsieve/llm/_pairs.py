@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomsieve.storage import materialize
 
 #: Copies of one text that are paired with every partner; later copies are linked to
-#: the first record of the partner's class alone (no link between classes is lost).
+#: the first record of each text of the partner's class alone (no link between texts is
+#: lost).
 LINKED = 64
 
 

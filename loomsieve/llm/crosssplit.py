@@ -26,16 +26,16 @@ def _split(split_col: str) -> Column:
 
 
 def _linked(df: DataFrame, id_col: str, fields: list[str], split_col: str, train: str, least: float) -> tuple[DataFrame, DataFrame]:
-    """(id, side, h) of the texts, side 0 in training, and the links (a, b) from texts of
+    """(id, side, h, raw) of the texts, side 0 in training, and the links (a, b) from texts of
     side 0 to texts of side 1."""
     split = _split(split_col)
     ids = df.where(split.isNotNull() & (split != ""))
     both = ids.select(((F.col(f"`{id_col}`").cast("long") * 2) + F.when(split == train, 0).otherwise(1)).alias("id"), *(F.col(f"`{c}`") for c in fields))
-    formed = textform.with_forms(textform.long_units(both, "id", fields), plain=False).where("bare <> ''")
-    units = formed.select(F.shiftright("id", 1).alias("id"), F.lit(0).alias("salt"), F.col("id").bitwiseAND(1).cast("int").alias("side"), F.xxhash64("bare").alias("h"), "bare")
+    formed = textform.with_forms(textform.long_units(both, "id", fields), plain=False, keep_text=True).where("bare <> ''")
+    units = formed.select(F.shiftright("id", 1).alias("id"), F.lit(0).alias("salt"), F.col("id").bitwiseAND(1).cast("int").alias("side"), F.xxhash64("bare").alias("h"), "bare", F.xxhash64("text").alias("raw"))
     units = materialize(units, "units")
     links = materialize(class_links(units, minwise, least=least, bands=BANDS, rows=ROWS, cross=True), "links")
-    return units.select("id", "side", "h").dropDuplicates(["id", "side", "h"]), links
+    return units.select("id", "side", "h", "raw").distinct(), links
 
 
 def _of_links(members: DataFrame, links: DataFrame, side: int, key: str) -> DataFrame:
@@ -44,10 +44,10 @@ def _of_links(members: DataFrame, links: DataFrame, side: int, key: str) -> Data
 
 def cross_split_pairs(df: DataFrame, id_col: str, fields: list[str], split_col: str = "split", train: str = "train", least: float = LIKENESS) -> DataFrame:
     """Operator: (train_id, eval_id), every confirmed overlap of a training record and a
-    record of another split, over all texts of ``fields`` against each other. Copies
+    record of another split, over all texts of ``fields`` against each other. Exact copies
     beyond the first LINKED of a text are paired with the first of each linked text."""
     members, links = _linked(df, id_col, fields, split_col, train, least)
-    out = across_classes(links, ranked(_of_links(members, links, 0, "a"), ["h"]), ranked(_of_links(members, links, 1, "b"), ["h"]))
+    out = across_classes(links, ranked(_of_links(members, links, 0, "a"), ["h", "raw"]), ranked(_of_links(members, links, 1, "b"), ["h", "raw"]))
     return out.select(F.col("x").alias("train_id"), F.col("y").alias("eval_id")).distinct()
 
 

@@ -24,10 +24,10 @@ BANDS, ROWS = 40, 5
 
 
 def text_units(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, salt = field, side, h, bare) of every text with letters or digits, written
+    """(id, salt = field, side, h, bare, raw) of every text with letters or digits, written
     once into the shared folder as it is read several times."""
-    units = textform.with_forms(textform.long_units(df, id_col, fields), plain=False).where("bare <> ''")
-    return materialize(units.select("id", F.col("field").alias("salt"), F.lit(0).alias("side"), F.xxhash64("field", "bare").alias("h"), "bare"), "units")
+    units = textform.with_forms(textform.long_units(df, id_col, fields), plain=False, keep_text=True).where("bare <> ''")
+    return materialize(units.select("id", F.col("field").alias("salt"), F.lit(0).alias("side"), F.xxhash64("field", "bare").alias("h"), "bare", F.xxhash64("text").alias("raw")), "units")
 
 
 def text_links(units: DataFrame, least: float = LIKENESS) -> DataFrame:
@@ -51,12 +51,13 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], least: float
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], least: float = LIKENESS) -> DataFrame:
-    """(id_a, id_b): links of texts as pairs of records. Copies beyond the first
-    ``LINKED`` of one text are paired with the first record of each linked text."""
+    """(id_a, id_b): links of texts as pairs of records. Exact copies beyond
+    the first ``LINKED`` of one text are paired with the first record of each linked text;
+    texts of one bare form that differ in layout are all paired."""
     units = text_units(df, id_col, fields)
     pairs = materialize(text_links(units, least), "links")
-    members = units.select("id", "h")
+    members = units.select("id", "h", "raw")
     copied = members.groupBy("h").count().where("count > 1").select("h")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).union(copied).distinct()
-    members = ranked(members.join(wanted, "h", "left_semi"), ["h"])
+    members = ranked(members.join(wanted, "h", "left_semi"), ["h", "raw"])
     return ordered_pairs(within_classes(members, ["h"]).union(across_classes(pairs, members, members)))

@@ -143,6 +143,15 @@ def test_copies_are_linked_to_the_first(spark, monkeypatch):
     assert len(out) == n * (n - 1) // 2 + 200 - n and {b for a, b in out if a == 0} == set(range(1, 200))
 
 
+def test_layout_variants_are_all_paired(spark):
+    words = "the same sentence comes in a hundred layouts of blanks".split()
+    texts = ["".join(w + " " * (1 + (i >> j & 1)) for j, w in enumerate(words)) for i in range(100)]
+    assert len(set(texts)) == 100
+    assert len(ids(neardup.near_duplicate_pairs(clashing(spark, list(enumerate(texts))), "id_", ["text"]), "id_a", "id_b")) == 100 * 99 // 2
+    df = spark.createDataFrame([(2 * i + s, t, ("train", "val")[s]) for i, t in enumerate(texts) for s in (0, 1)], "ord long, a string, split string")
+    assert crosssplit.cross_split_pairs(df, "ord", ["a"]).count() == 100 * 100
+
+
 def test_cross_split(spark):
     rng = random.Random(7)
     texts = family(rng, 40, 80, 3)
