@@ -86,8 +86,11 @@ def minhash_bands(shingles: pd.Series) -> pd.Series:
     return shingles.map(keys)
 
 
-def lsh_candidates(df: DataFrame, id_col: str, task_col: str, text_col: str, n: int = 5) -> DataFrame:
-    """(task, a, b): pairs of a task that share a band of their minhash signature."""
+def lsh_candidates(df: DataFrame, id_col: str, task_col: str, text_col: str) -> DataFrame:
+    """(task, a, b): pairs of a task that share a band of their minhash signature, of
+    shingles by the n of its TaskSpec (5 for a task without one)."""
+    known = F.create_map(*(x for k, s in TASKS.items() if s.shingle for x in (F.lit(k), F.lit(s.shingle))))
+    n = F.coalesce(known[F.col("task")], F.lit(5))
     tokens = T.with_tokens(df.select(F.col(task_col).alias("task"), F.col(id_col).alias("id"), F.col(text_col).alias("x")), F.col("x"))
     sets = tokens.select("task", "id", F.transform(T.word_shingles(F.col("w"), n), lambda x: F.xxhash64(x)).alias("s")).where("size(s) > 0")
     bands = sets.select("task", "id", F.posexplode(minhash_bands("s")).alias("band", "key"))

@@ -120,6 +120,15 @@ def test_jaccard_links_are_exact_and_lsh_finds_most(spark):
     assert len(mine & near) >= 0.8 * len(mine)
 
 
+def test_lsh_takes_the_shingles_of_the_task(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(0, "retry", " ".join(words)), (1, "retry", "a b c d"), (2, "retry", "a b c d a b"), (3, "title", "x y"), (4, "title", "x y"), (5, None, "x y"), (6, "retry", "a b c d a b c")]
+    df = spark.createDataFrame(rows, "ord long, task string, norm string")
+    got = {(r.a, r.b) for r in dedup.lsh_candidates(df, "ord", "task", "norm").collect()}
+    # 2 and 6 have the same words of three, but not of five
+    assert (2, 6) in got and (3, 4) in got
+
+
 def vectors(spark, n=40, groups=2, seed=3):
     rng = np.random.default_rng(seed)
     return spark.createDataFrame([(i, i % groups, rng.normal(size=8).tolist()) for i in range(n)] + [(n, 0, [0.0] * 8), (n + 1, 9, [1.0] * 8)], "id long, g int, v array<float>")
