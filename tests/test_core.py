@@ -303,6 +303,15 @@ def test_every_rule_is_evaluated(spark):
     assert len(v.reasons) == len(broken) and v.not_evaluated == ["human_bad", "human_good"] and "latency_p95[] not < 3.0" in v.reasons
 
 
+def test_curves_are_of_every_vector(spark, tmp_path):
+    from loomsieve.plans import catalogue
+
+    spark.createDataFrame([(2, [1.0], 0), (3, [3.0], 7)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0,), (1,)], "n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {(r.step, r.in_a, r.b) for r in catalogue.queries()["version_full_outer"](spark, str(tmp_path)).collect()}
+    assert got == {(0, True, "1"), (1, False, "1"), (7, True, "—")}
+
+
 def test_curation_counts_telescope(spark):
     from loomsieve.plans.pipeline import CurationConfig, curate
 
