@@ -233,9 +233,7 @@ def _judged(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.
 
 def _endings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        # copies in a batch count once, else loops of the corpus would outvote it
-        given = dict(zip((t.replace("\n", " ") for t in b["said"].to_pylist()), b["title"].to_pylist(), strict=True))
-        k, n, f = _grams(list(given), list(given.values()))
+        k, n, f = _grams(b["said"].to_pylist(), b["title"].to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(f.astype(np.int64))], names=["k", "total", "final"])
 
 
@@ -278,7 +276,9 @@ def defective_pairs(df: DataFrame, id_col: str, task_col: str, prompt_col: str,
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), c(task_col).alias("task"), c(prompt_col).alias("prompt"), *(c(a).alias(a) for a in answer_cols))
     judged = materialize(rows.mapInArrow(lambda it: _judged(it, answer_cols), _SCHEMA), "judged")
     sound = judged.where("defect IS NULL")
-    endings = sound.select("said", "title").mapInArrow(_endings, "k long, total long, final long").groupBy("k").agg(F.sum("total").alias("total"), F.sum("final").alias("final"))
+    # copies count once in the whole table, else loops of the corpus would outvote it
+    once = sound.select(F.translate("said", "\n", " ").alias("said"), "title").distinct()
+    endings = once.mapInArrow(_endings, "k long, total long, final long").groupBy("k").agg(F.sum("total").alias("total"), F.sum("final").alias("final"))
     open_ = sound.where("open")
     keys = open_.select(F.explode(F.array("k4", "k3")).alias("k")).where("k IS NOT NULL").distinct()
     endings = materialize(endings.join(keys, "k", "left_semi"), "endings")

@@ -294,6 +294,19 @@ def test_pair_defects(spark):
     assert pairdefects.defective_pairs(df.limit(0), "sid", "task", "prompt_", ["generated", "expected"]).count() == 0
 
 
+def test_endings_count_copies_once_in_the_table(spark):
+    often = "마을 앞 나무다리 위로 사람들이 천천히 걸어가고 있어요."
+    rows = [(i, "intro", "오늘 하루는 어떻게 보내셨나요?", often) for i in range(80)]
+    rows += [(90, "intro", "오늘 하루는 어떻게 보내셨나요?", "제가 좋아하는 곳은 오래된 나무다리."), (91, "intro", "오늘 하루는 어떻게 보내셨나요?", "우리가 어제 함께 건넌 것은 나무다리")]
+    df = spark.createDataFrame(rows, "sid long, task string, prompt string, said string")
+    found = []
+    for n in ("10000", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        found.append(ids(pairdefects.defective_pairs(df, "sid", "task", "prompt", ["said"]), "id", "defect"))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
+
+
 def test_shortened_versions(spark):
     texts = ["아주 긴 문장을 여기까지 썼", "아주 긴 문장을 여기까지 썼다가 지웠어요.", "전혀 다른 문장입니다.", "아주 긴 문장을 여기까지 썼다가 지웠어요."]
     assert ids(pairdefects.shortened_versions(spark.createDataFrame([(t,) for t in texts], "said string")), "said") == [(texts[0],)]
