@@ -128,7 +128,8 @@ def dedup_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def curated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline: rows of each split and task."""
+    """Exact and near dedup and the split: rows of each split and task. No table holds
+    vectors of the records, so the semantic and the cross-version stage are not run."""
     return curate(records(spark, sf_dir))[0].groupBy("split", "task_type").agg(F.count("*").alias("rows"))
 
 
