@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,10 +14,12 @@ from pyspark.sql.types import ArrayType, LongType
 
 from loomsieve.functions import text as T
 from loomsieve.operators.tasks import TASKS, task_text, with_clean_task
-from loomsieve.storage import materialize
+from loomsieve.storage import drop, materialize
 
 #: Rows of a block of vectors that one task multiplies with another.
 BLOCK = 2048
+#: Links that one task walks at once (16 bytes each).
+FEW_LINKS = 500_000
 #: Permutations, and bands x rows with the least weighted error at a threshold of 0.7.
 PERMUTATIONS, BANDS, ROWS = 128, 14, 9
 
@@ -185,23 +188,45 @@ def nearest_old(new: DataFrame, old: DataFrame, group_col: str, id_col: str, vec
     return new.select(F.col(group_col).alias("grp"), F.col(id_col).alias("id")).join(found, "id", "left").select(F.col("grp").cast(grp_type).alias("grp"), "id", "nearest")
 
 
-def greedy_removed(links: DataFrame) -> DataFrame:
+def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that go, of links (a, b) in the order of b."""
+    gone: set[int] = set()
+    for x in batches:
+        now = []
+        for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True):
+            if a not in gone and b not in gone:
+                gone.add(b)
+                now.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(now, pa.int64())], names=["id"])
+
+
+def greedy_removed(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(id): rows that go if rows are taken in order and one goes when an earlier row
-    that stays is linked to it. links: (a, b), a before b.
+    that stays is linked to it. links: (a, b) of type long, a before b.
 
     Each round the rows without an open earlier neighbour stay, and what they are linked
-    to goes; so a chain costs a round for every two links, anything else far less.
+    to goes; so a chain costs a round for every two links. Once at most ``few`` links are
+    open, one task walks them in order, which gives the same rows.
     """
-    live = materialize(links.select("a", "b").distinct(), "links")
-    gone = live.select(F.col("b").alias("id")).limit(0)
-    while not live.isEmpty():
+    live = materialize(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "links")
+    gone: list[DataFrame] = []
+    while (n := live.count()) > few:
         stay = live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         now = materialize(live.join(stay, "a", "left_semi").select(F.col("b").alias("id")).distinct(), "gone")
-        gone = gone.union(now)
-        live = live.join(stay, "a", "left_anti")
-        live = live.join(now.select(F.col("id").alias("a")), "a", "left_anti").join(now.select(F.col("id").alias("b")), "b", "left_anti")
-        live = materialize(live.select("a", "b"), "links")
-    return gone
+        rest = live.join(stay, "a", "left_anti")
+        rest = rest.join(now.select(F.col("id").alias("a")), "a", "left_anti").join(now.select(F.col("id").alias("b")), "b", "left_anti")
+        rest = materialize(rest.select("a", "b"), "links")
+        drop(live)
+        live, gone = rest, [*gone, now]
+        if len(gone) == 8:  # the plan stays short however many rounds there are
+            whole = materialize(functools.reduce(DataFrame.union, gone), "gone")
+            drop(*gone)
+            gone = [whole]
+    if n or not gone:
+        walked = live.repartition(1).sortWithinPartitions("b", "a").mapInArrow(_walk, "id long")
+        gone.append(materialize(walked, "gone"))
+    drop(live)
+    return functools.reduce(DataFrame.union, gone)
 
 
 def near_duplicates_removed(kept: DataFrame) -> DataFrame:
