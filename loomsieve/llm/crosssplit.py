@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsieve.llm import textform
-from loomsieve.llm._pairs import across_classes, ranked
-from loomsieve.llm.nearpairs import class_links
+from loomsieve.llm._pairs import Classes, across_classes, classes, hot_values, spread_join
+from loomsieve.llm.nearpairs import class_links, settled
 from loomsieve.llm.sketches import minwise
 from loomsieve.storage import materialize
 
@@ -32,22 +32,28 @@ def _linked(df: DataFrame, id_col: str, fields: list[str], split_col: str, train
     ids = df.where(split.isNotNull() & (split != ""))
     both = ids.select(((F.col(f"`{id_col}`").cast("long") * 2) + F.when(split == train, 0).otherwise(1)).alias("id"), *(F.col(f"`{c}`") for c in fields))
     formed = textform.with_forms(textform.long_units(both, "id", fields), plain=False, keep_text=True).where("bare <> ''")
-    units = formed.select(F.shiftright("id", 1).alias("id"), F.lit(0).alias("salt"), F.col("id").bitwiseAND(1).cast("int").alias("side"), F.xxhash64("bare").alias("h"), "bare", F.xxhash64("text").alias("raw"))
-    units = materialize(units, "units")
+    units = formed.select(F.shiftright("id", 1).alias("id"), F.lit(0).alias("salt"), F.col("id").bitwiseAND(1).cast("int").alias("side"), F.xxhash64("bare").alias("h"), F.xxhash64(F.lit(11), "bare").alias("h2"), "bare", F.xxhash64("text").alias("raw"))
+    units = settled(materialize(units, "units"))
     links = materialize(class_links(units, minwise, least=least, bands=BANDS, rows=ROWS, cross=True), "links")
-    return units.select("id", "side", "h", "raw").distinct(), links
+    return units.select("id", "side", "h", "raw"), links
 
 
 def _of_links(members: DataFrame, links: DataFrame, side: int, key: str) -> DataFrame:
-    return members.where(F.col("side") == side).join(links.select(F.col(key).alias("h")).distinct(), "h", "left_semi")
+    of = members.where(F.col("side") == side)
+    return spread_join(of, links.select(F.col(key).alias("h")).distinct(), ["h"], hot_values(of.select("h"), "h"), "left_semi")
 
 
 def cross_split_pairs(df: DataFrame, id_col: str, fields: list[str], split_col: str = "split", train: str = "train", least: float = LIKENESS) -> DataFrame:
     """Operator: (train_id, eval_id), every confirmed overlap of a training record and a
-    record of another split, over all texts of ``fields`` against each other. Exact copies
-    beyond the first LINKED of a text are paired with the first of each linked text."""
+    record of another split, over all texts of ``fields`` against each other, in the form
+    that ``_pairs`` states: a text with more than ``COPIES`` exact copies on a side is in
+    class form there. ``overlap_counts`` counts all of them."""
     members, links = _linked(df, id_col, fields, split_col, train, least)
-    out = across_classes(links, ranked(_of_links(members, links, 0, "a"), ["h", "raw"]), ranked(_of_links(members, links, 1, "b"), ["h", "raw"]))
+
+    def of(side: int, key: str) -> Classes:
+        return classes(materialize(_of_links(members, links, side, key).select("h", "raw", "id"), "members"), ["h"], "raw")
+
+    out = across_classes(links, of(0, "a"), of(1, "b"))
     return out.select(F.col("x").alias("train_id"), F.col("y").alias("eval_id")).distinct()
 
 

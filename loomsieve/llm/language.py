@@ -1,10 +1,11 @@
 """Document and line languages (problem 10).
 
 A line is the average of hashed subword embeddings (runs of one and three characters)
-under a linear softmax, trained by stochastic gradient descent in numpy on lines of
-labelled documents: at most ``SAMPLE`` documents of each language, chosen by hash over
-the whole table. Labels are noisy, so lines that a first model denies are left out of
-the second. A temperature and a rejection threshold are set on held-out lines. After
+under a linear softmax, trained by stochastic gradient descent in numpy on pieces of
+labelled documents: a bounded sample (``Sample``) of each language, drawn by hash over
+the whole table and over the whole texts. Labels are noisy, so pieces that a first model
+denies are left out of the second. A temperature and a rejection threshold are set on
+held-out pieces: the least confidence above which errors are rare enough. After
 training, embedding and softmax fold into one table of scores for each hash bucket;
 tagging is map-only over whole texts.
 
@@ -17,17 +18,33 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsieve.llm.repetition import _word_chars
 from loomsieve.llm.sketches import mix
 
-#: Labelled documents of each language to train on, and lines of each language.
-SAMPLE, LINES = 300, 3000
+@dataclass(frozen=True)
+class Sample:
+    """Bound on the labelled rows to train on: documents of each language, different
+    pieces of each document, and pieces of each language in all; a piece is a line or at
+    most ``chars`` characters of one, from anywhere in the text."""
+
+    documents: int = 300
+    of_document: int = 12
+    pieces: int = 1200
+    chars: int = 200
+
+
+#: Share of held-out pieces above the rejection threshold that may be misjudged, and the
+#: range of the threshold.
+ERRORS, LEAST, MOST = 0.001, 0.6, 0.95
 BUCKETS, DIM = 1 << 16, 16
 #: Letters that a line needs to speak for itself (syllables and ideographs count thrice).
 LETTERS = 22
@@ -43,30 +60,48 @@ CODES = {
 MEANINGLESS = {"", "und", "unknown", "unk", "xx", "xxx", "none", "null", "n/a", "na", "other", "mul", "mis", "zxx", "?", "??", "???", "-", "--"}
 
 
-def label_code(label: str | None, names: dict[str, str]) -> str | None:
+def spellings(codes: dict[str, str]) -> dict[str, str]:
+    """The code of every way to write a language of ``codes`` (code to name)."""
+    known = {v.lower(): k for k, v in codes.items()}
+    for code, others in CODES.items():
+        known |= {code: code} | dict.fromkeys(others, code)
+    return known | {c: c for c in codes}
+
+
+def label_code(label: str | None, known: dict[str, str]) -> str | None:
     """The code that a label means in whatever spelling; None for missing or
-    meaningless ones, the label itself if it names something unknown. names: the names
-    of the languages in lower case, to their codes."""
+    meaningless ones, the label itself if it names something unknown."""
     if label is None:
         return None
     x = unicodedata.normalize("NFKC", label).strip().lower()
     if x in MEANINGLESS or not any(map(str.isalpha, x)):
         return None
-    known = dict(names)
-    for code, others in CODES.items():
-        known |= {code: code} | dict.fromkeys(others, code)
-    known |= {c: c for c in names.values()}
     return known.get(x) or known.get(re.split(r"[-_ (]", x)[0]) or x
 
 
+@cache
+def _scripts() -> np.ndarray:
+    """For each code point 0 unless it is a letter, else its script: 1 Latin, 2 Hangul, 3
+    kana and ideographs, 4 Cyrillic, 5 any other."""
+    out = np.where(_word_chars(), np.uint8(5), np.uint8(0))
+    out[48:58] = 0
+    for script, ranges in ((1, ((0x41, 0x24F), (0x1E00, 0x1EFF))), (2, ((0x1100, 0x11FF), (0x3131, 0x318E), (0xAC00, 0xD7A3))), (3, ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))), (4, ((0x400, 0x52F),))):
+        for lo, hi in ranges:
+            out[lo : hi + 1] = np.where(out[lo : hi + 1] > 0, script, 0)
+    return out
+
+
 def _prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in lower case, and the line of each (over all texts;
-    a text ends its line). Marks and digits become blanks."""
+    a text ends its line). Marks, digits, and letters of another script than most of
+    the line's (names and tags) become blanks."""
     codes = np.frombuffer("\n".join(t.lower() for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     line = np.cumsum(codes == 10)
     line[codes == 10] -= 1
-    out = np.where(_word_chars()[codes] & ~((codes >= 48) & (codes <= 57)), codes, np.uint32(32))
-    return out, line
+    script = _scripts()[codes]
+    letters = np.bincount(line * 6 + script, weights=np.where(codes >= 0x1100, 3, 1), minlength=6 * (int(line[-1]) + 1 if len(line) else 0)).reshape(-1, 6)
+    letters[:, 0] = 0
+    return np.where((script > 0) & (script == letters.argmax(1)[line]), codes, np.uint32(32)), line
 
 
 def _features(codes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +136,27 @@ class Tagger:
         owner = np.repeat(np.arange(len(texts)), per)
         codes, line = _prepared(texts)
         logits, _ = self._scores(codes, line, len(owner))
-        weigh = np.where(codes >= 0x2E80, 3, 1) * (codes != 32)
+        weigh = np.where(codes >= 0x1100, 3, 1) * (codes != 32)
         return owner, logits / self.temperature, np.bincount(line, weights=weigh, minlength=len(owner))
 
+    def speaks(self, texts: list[str]) -> list[str | None]:
+        """The language of each text taken as one line; None where it is too short or
+        too doubtful."""
+        out: list[str | None] = []
+        lo, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= CHUNK or i + 1 == len(texts):
+                _, logits, letters = self.lines_of([x.replace("\n", " ") for x in texts[lo : i + 1]])
+                if not self.langs:
+                    out += [None] * (i + 1 - lo)
+                else:
+                    p = _softmax(logits)
+                    sure = (letters >= LETTERS) & (p.max(1) >= self.least)
+                    out += [self.langs[k] if ok else None for k, ok in zip(p.argmax(1), sure, strict=True)]
+                lo, size = i + 1, 0
+        return out
+
     def tag(self, texts: list[str]) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
         """(language, confidence, lines) of each text; lines (number, language,
         confidence) of the non-blank ones, empty unless the text is mixed."""
@@ -143,11 +196,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int, epochs: int = 4, rate: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
     """Stochastic gradient descent on embeddings and softmax; the folded table, bias."""
     rng = np.random.default_rng(seed)
-    emb, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, classes)), np.zeros(classes)
+    # features start at nothing, so that unseen ones say nothing
+    emb, soft, bias = np.zeros((BUCKETS, DIM), np.float32), rng.normal(0, 0.5, (DIM, classes)), np.zeros(classes)
     codes, line = _prepared([t.replace("\n", " ") for t in texts])
     bucket, owner = _features(codes, line)
-    order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
+    n = np.bincount(owner, minlength=len(texts))
+    # different features of a text with their counts
+    key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
+    owner, bucket = key // BUCKETS, key % BUCKETS
+    share = (count / n[owner]).astype(np.float32)[:, None]
     ends = np.searchsorted(owner, np.arange(len(texts) + 1))
     steps, batch = 0, 64
     total = epochs * -(-len(texts) // batch)
@@ -157,17 +214,19 @@ def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int, epochs: int =
             rows = [i for i in mixed[lo : lo + batch] if ends[i + 1] > ends[i]]
             if not rows:
                 continue
-            own = np.concatenate([bucket[ends[i] : ends[i + 1]] for i in rows])
-            n = np.array([ends[i + 1] - ends[i] for i in rows])
-            starts = np.r_[0, np.cumsum(n)[:-1]]
-            h = np.add.reduceat(emb[own], starts, axis=0) / n[:, None]
+            at = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in rows])
+            own, part, many = bucket[at], share[at], np.array([ends[i + 1] - ends[i] for i in rows])
+            h = np.add.reduceat(emb[own] * part, np.r_[0, np.cumsum(many)[:-1]], axis=0)
             g = _softmax(h @ soft + bias)
             g[np.arange(len(rows)), y[rows]] -= 1
             g *= rate * (1 - steps / total) / len(rows)
-            back = (g @ soft.T) / n[:, None]
+            back = (g @ soft.T).astype(np.float32)
             soft -= h.T @ g * 0.2
             bias -= g.sum(0) * 0.02
-            np.add.at(emb, own, -np.repeat(back, n, axis=0) * 8)
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            emb[own[first]] -= 8 * np.add.reduceat((np.repeat(back, many, axis=0) * part)[order], first, axis=0)
             steps += 1
     return emb @ soft, bias
 
@@ -184,45 +243,52 @@ def train(texts: list[str], labels: list[str], langs: list[str]) -> Tagger:
     second = Tagger(langs, *_fit([t for t, k in zip(texts, keep, strict=True) if k], y[keep], len(langs), 2), 1.0, 0.0)
     logits, target = own(second, [t for t, k in zip(texts, held & right, strict=True) if k]), y[held & right]
     best = min((0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.5), key=lambda s: -np.log(_softmax(logits / s)[np.arange(len(target)), target] + 1e-9).mean())
-    p = _softmax(logits / best)
-    wrong = p.max(1)[p.argmax(1) != target]
-    # above every confidence at which a held-out line was misjudged, as far as that leaves most lines
-    second.temperature, second.least = best, float(min(0.95, max([0.6, *wrong])))
+    second.temperature, second.least = best, _threshold(_softmax(logits / best), target)
     return second
 
 
-def fit_tagger(df: DataFrame, id_col: str, text_col: str, label_col: str, codes: dict[str, str], sample: int = SAMPLE) -> Tagger:
-    """Train on at most about ``sample`` labelled documents of each language of ``codes``
-    (code to name). Without any labelled text the tagger knows no language, and every
-    text has language null."""
-    names = {v.lower(): k for k, v in codes.items()}
-    spellings = df.groupBy(F.col(f"`{label_col}`").alias("label")).count().collect()
-    meant = {r.label: c for r in spellings if (c := label_code(r.label, names)) in codes}
-    n: dict[str, int] = {}
-    for r in spellings:
-        if r.label in meant:
-            n[meant[r.label]] = n.get(meant[r.label], 0) + r["count"]
+def _threshold(p: np.ndarray, target: np.ndarray) -> float:
+    """The least confidence at and above which at most ``ERRORS`` of the held-out pieces
+    are misjudged; one noisy label doesn't move it to the end of the range."""
+    order = np.argsort(-p.max(1), kind="stable")
+    wrong = np.cumsum((p.argmax(1) != target)[order])
+    sure = p.max(1)[order]
+    last = np.r_[sure[1:] < sure[:-1], True] if len(sure) else np.zeros(0, bool)  # of equal ones
+    fine = np.flatnonzero((wrong <= ERRORS * np.arange(1, len(wrong) + 1)) & last)
+    return float(np.clip(sure[fine[-1]], LEAST, MOST)) if len(fine) else MOST
+
+
+def fit_tagger(df: DataFrame, id_col: str, text_col: str, label_col: str, codes: dict[str, str], sample: Sample = Sample()) -> Tagger:
+    """Train on a sample of the labelled documents of each language of ``codes`` (code to
+    name). Without any labelled text the tagger knows no language, and every text has
+    language null. Labels are matched where they are read; the driver gets a count for
+    each language and the sampled pieces."""
+    known = spellings(codes)
+
+    @F.pandas_udf("string")
+    def meant(labels: pd.Series) -> pd.Series:
+        return labels.map({x: c for x in labels.unique() if (c := label_code(x, known)) in codes})
+
+    docs = df.where(F.col(f"`{label_col}`").isNotNull()).select(meant(F.col(f"`{label_col}`").cast("string")).alias("code"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(10)).alias("h"))
+    n = {r.code: r["count"] for r in docs.where("code IS NOT NULL").groupBy("code").count().collect()}
     if not n:
         return Tagger([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    share = df.sparkSession.createDataFrame([(lab, c, min(1.0, sample / n[c])) for lab, c in meant.items()], "label string, code string, share double")
-    rows = df.select(F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(10)).alias("h"))
-    rows = rows.join(F.broadcast(share), "label").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    # lines to learn from, at most 12 of a document (tagging reads all)
-    rows = rows.select("code", "h", F.explode(F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 8), 1, 12)).alias("line")).select("code", "h", F.substring("line", 1, 400).alias("line"))
-    texts, labels, taken = [], [], dict.fromkeys(codes, 0)
-    for r in sorted(rows.collect(), key=lambda r: (r.h, r.line)):
-        if taken[r.code] < LINES:
-            taken[r.code] += 1
-            texts.append(r.line)
-            labels.append(r.code)
-    return train(texts, labels, [c for c in codes if taken[c]])
+    share = df.sparkSession.createDataFrame([(c, min(1.0, sample.documents / k)) for c, k in n.items()], "code string, share double")
+    rows = docs.join(F.broadcast(share), "code").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    pieces = rows.select("code", "h", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"([^\\n]{{1,{sample.chars}}})")))).alias("piece")).where(F.length("piece") >= 8)
+    by_hash = [F.xxhash64("piece", F.lit(12)), F.col("piece")]
+    pieces = pieces.withColumn("n", F.row_number().over(Window.partitionBy("code", "h").orderBy(*by_hash))).where(F.col("n") <= sample.of_document)
+    drawn = F.row_number().over(Window.partitionBy("code").orderBy(*by_hash))
+    taken = pieces.withColumn("n", drawn).where(F.col("n") <= sample.pieces).orderBy("code", "n").collect()
+    mixed = [taken[i] for i in np.random.default_rng(12).permutation(len(taken))]
+    return train([r.piece for r in mixed], [r.code for r in mixed], [c for c in codes if any(r.code == c for r in taken)])
 
 
 def tag_languages(df: DataFrame, id_col: str, text_col: str, label_col: str, codes: dict[str, str], tagger: Tagger) -> DataFrame:
     """Operator: (id, line_no, lang, confidence, mixed, label_lang). line_no 0 is the
     document; a mixed document has a row for each non-blank line as well. label_lang is
     the code that the given label means, null if missing or meaningless."""
-    names = {v.lower(): k for k, v in codes.items()}
+    known = spellings(codes)
     shared = df.sparkSession.sparkContext.broadcast(tagger)
 
     def tag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +299,7 @@ def tag_languages(df: DataFrame, id_col: str, text_col: str, label_col: str, cod
                 size += len(t)
                 if size >= CHUNK or i + 1 == len(texts):
                     for j, (lang, conf, lines) in enumerate(shared.value.tag(texts[lo : i + 1]), lo):
-                        said = label_code(labels[j], names)
+                        said = label_code(labels[j], known)
                         rows.append((ids[j], 0, lang, conf, bool(lines), said))
                         rows += [(ids[j], k, x, c, True, said) for k, x, c in lines]
                     lo, size = i + 1, 0

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsieve.llm import textform
-from loomsieve.llm._pairs import across_classes, ordered_pairs, ranked, within_classes
-from loomsieve.llm.nearpairs import class_links
+from loomsieve.llm._pairs import across_classes, classes, hot_values, ordered_pairs, spread_join, within_classes
+from loomsieve.llm.nearpairs import class_links, settled
 from loomsieve.llm.sketches import fast_sketch
 from loomsieve.storage import materialize
 
@@ -27,7 +27,8 @@ def text_units(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id, salt = field, side, h, bare, raw) of every text with letters or digits, written
     once into the shared folder as it is read several times."""
     units = textform.with_forms(textform.long_units(df, id_col, fields), plain=False, keep_text=True).where("bare <> ''")
-    return materialize(units.select("id", F.col("field").alias("salt"), F.lit(0).alias("side"), F.xxhash64("field", "bare").alias("h"), "bare", F.xxhash64("text").alias("raw")), "units")
+    units = units.select("id", F.col("field").alias("salt"), F.lit(0).alias("side"), F.xxhash64("field", "bare").alias("h"), F.xxhash64(F.lit(11), "bare", "field").alias("h2"), "bare", F.xxhash64("text").alias("raw"))
+    return settled(materialize(units, "units"))
 
 
 def text_links(units: DataFrame, least: float = LIKENESS) -> DataFrame:
@@ -44,20 +45,20 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], least: float
     units = text_units(df, id_col, fields)
     pairs = text_links(units, least)
     degree = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("h")).agg(F.count("*").alias("links"))
-    classes = units.groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).join(degree, "h", "left")
+    texts = units.groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).join(degree, "h", "left")
     names = F.array(*map(F.lit, fields))
-    out = units.select("id", "salt", "h").join(classes, "h")
+    out = spread_join(units.select("id", "salt", "h"), texts, ["h"], hot_values(units.select("h"), "h"))
     return out.select("id", F.element_at(names, F.col("salt") + 1).alias("field"), "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], least: float = LIKENESS) -> DataFrame:
-    """(id_a, id_b): links of texts as pairs of records. Exact copies beyond
-    the first ``LINKED`` of one text are paired with the first record of each linked text;
-    texts of one bare form that differ in layout are all paired."""
+    """(id_a, id_b): links of texts as pairs of records, in the form that ``_pairs``
+    states: every pair, but a text with more than ``COPIES`` exact copies in class form.
+    Texts of one bare form that differ in layout are all paired."""
     units = text_units(df, id_col, fields)
     pairs = materialize(text_links(units, least), "links")
     members = units.select("id", "h", "raw")
     copied = members.groupBy("h").count().where("count > 1").select("h")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).union(copied).distinct()
-    members = ranked(members.join(wanted, "h", "left_semi"), ["h", "raw"])
-    return ordered_pairs(within_classes(members, ["h"]).union(across_classes(pairs, members, members)))
+    of = classes(materialize(spread_join(members, wanted, ["h"], hot_values(members, "h"), "left_semi"), "members"), ["h"], "raw")
+    return ordered_pairs(within_classes(of, ["h"], "raw", alike=True).union(across_classes(pairs, of, of)))

@@ -1,9 +1,11 @@
 """Filling containers of fixed capacity (problem 8): best-two-fit.
 
 A text larger than the capacity is cut into pieces of the capacity and a rest; others
-are never split. Items are spread over hash shards that one task packs each; bins that
-stay underfilled are opened again and their items packed in fewer shards, until one is
-left, so what shards cost in space is one of them.
+are never split. Items are spread over hash shards that one task packs each. Bins that
+stay underfilled are opened again and their items packed anew, in as many shards as they
+fill: the few last bins of each shard so meet those of the others, round after round,
+until one shard is left or opening helps no more. No task ever packs more than about
+``SHARD`` items.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 
 from loomsieve.storage import materialize
 
-#: Items that one task packs, the fill below which a bin is opened again, and by how
-#: much the number of shards falls from round to round.
-SHARD, FULL, FEWER = 20_000, 0.985, 32
+#: Items that one task packs, the fill below which a bin is opened again, and the share
+#: of the items that may be left open for another round to be worth it.
+SHARD, FULL, WORTH = 6_000, 0.985, 0.8
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -117,16 +119,17 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     open_ = pieces.where("size < capacity")
     schema = "container string, capacity int, id long, piece int, size int, bin string, fill double"
     items, done, step = materialize(open_, "items"), none.union(whole), 0
-    most = items.groupBy("container").count().agg(F.max("count")).first()[0] or 0
-    shards = max(1, -(-most // SHARD))
+    many = lambda df: df.groupBy("container").count().agg(F.max("count")).first()[0] or 0
+    count = many(items)
     while True:
+        shards = max(1, -(-count // SHARD))
         spread = items.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.lit(step)), F.lit(shards)))
         packed = materialize(spread.groupBy("container", "shard").applyInArrow(_packer(step), schema), "packed")
-        if shards == 1:
+        left = many(packed.where(F.col("fill") < FULL)) if shards > 1 else 0
+        if shards == 1 or left > WORTH * count:
             return done.union(packed)
         done = done.union(packed.where(F.col("fill") >= FULL))
-        items = packed.where(F.col("fill") < FULL).select("container", "capacity", "id", "piece", "size")
-        shards, step = -(-shards // FEWER), step + 1
+        items, count, step = packed.where(F.col("fill") < FULL).select("container", "capacity", "id", "piece", "size"), left, step + 1
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

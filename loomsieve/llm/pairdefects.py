@@ -1,29 +1,32 @@
 """Broken prompt and response pairs (problem 7).
 
-Evidence is gathered from the whole table: answers are sorted by text and neighbours'
-common prefixes compared, which finds shortened versions; spikes of the length
-distribution show length limits; how often each ending of four characters ends a
-sentence (or, for titles, a title) in all answers tells an ending from a break. Then
-the rules decide, one defect for an answer at most, in the order empty, refusal, copy,
-other_language, truncated.
+Breaks are found from the whole table. The answers' words are sorted as windows of two
+words, and the last words of an answer without a final mark are compared with their
+neighbours in that order: where what begins like them goes on inside the word or the
+sentence, and hardly ever ends there, the answer is a shortened version of the others'
+wording. Where no neighbour begins with its last two words, the last word alone is
+compared, and where no neighbour begins with that, words with the same end; a text that
+trails off in an ellipsis is broken off unless these say that it ends. Spikes of the length distribution show length limits. Then the rules decide,
+one defect for an answer at most, in the order empty, refusal, copy, other_language,
+truncated. Languages come from the tagger of problem 10.
 
 A null answer is ``empty``; a null prompt is Korean and can't be copied. Repeated rows
-are judged alike. Texts are read whole.
+are judged alike; an answer counts once as evidence however often it stands in the
+table. Without evidence an answer is not truncated. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsieve.llm import textform
-from loomsieve.llm.sketches import mix
+from loomsieve.llm.language import Tagger
 from loomsieve.storage import materialize
 
 # Words that stand for no answer (bare form).
@@ -36,7 +39,8 @@ REFUSALS = {
         r"(无法|不能|不便|拒绝)(为您|帮|协助|回答|提供|完成|满足|处理|回应|写|讨论|继续)|抱歉，|对不起，|语言模型|人工智能模型",
     ],
     "[\u0400-\u04ff]": [r"не (могу|смогу|можем) (помочь|ответить|выполнить|написать|сделать|обсуждать|продолжить|предоставить)|извините,? (но )?я не|вынужден(а)? отказать|языков(ая|ой) модел|к сожалению, я не"],
-    r"(?:[A-Za-z\u00c0-\u024f\u1e00-\u1eff'’]+ ){2}": [
+    # every pattern below has a letter, a blank and a letter in a row, give or take a comma
+    r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff],? [A-Za-z\u00c0-\u024f\u1e00-\u1eff]": [
         r"\b(i|we) (must|have to|need to) (decline|refuse)|\b(can ?not|can['’]?t|could not|unable to|won['’]t be able to|not able to|will not|won['’]t) (help|assist|comply|answer|respond|provide|comment|write|fulfil|fulfill|do that|continue|complete|create|discuss|share)|\bas an? (ai|artificial|language model)",
         r"no puedo (ayudar|responder|cumplir|hacer|escribir|atender|contestar|continuar|completar)|lo siento, (pero )?no|debo (rechazar|negarme)|como modelo de|no me es posible|me temo que no",
         r"não posso (ajudar|responder|atender|cumprir|fazer|escrever|continuar|completar)|(desculpe|sinto muito|lamento), (mas )?(não|eu não)|como (um )?modelo de|preciso recusar|não (é|me é) possível",
@@ -51,55 +55,19 @@ def refuses(text: str) -> bool:
     return any(has.search(text) and said.search(text) for has, said in _REFUSALS)
 
 
-# Function words that tell languages of Latin script apart.
-FUNCTION_WORDS = {
-    "en": "the of and was is this that my i it when with would you a but we to so in for although because about still again how did could less than after during".split(),
-    "es": "el la los las que de y en me mi con es un una porque pero muy por para lo cuando usted esta este siempre aunque después durante todavía según del al sería usamos".split(),
-    "pt": "o a os as que de e em me minha meu com é um uma porque mas muito por para quando você este esta sempre embora depois durante ainda segundo do da no na seria usamos disseram".split(),
-    "de": "der die das und ich ist es mit ein eine nicht dass wir aber wie als bei diesem sie zu war weil sehr noch im am so meine mein haben habe wieder würde würden von nach".split(),
-    "vi": "của tôi và là có không cho này khi thì một được rất với những các nhưng để như nói thật dùng mua nên còn hơi loại thấy anh chị bảo rằng nhà hãng vẫn".split(),
-}
 # Labels of a prompt's lines that hold the question.
 QUESTION_LABELS = re.compile(r"^(현재 질문|첫 질문|질문|question|current question|first question|pregunta( actual)?|pergunta( atual)?|(aktuelle )?frage|(текущий )?вопрос|câu hỏi( hiện tại)?|質問|現在の質問|问题|当前问题)\s*[:：]\s*", re.IGNORECASE)
 LABEL = re.compile(r"^[^:：\n]{1,30}[:：]\s*")
 FINAL = ".?!。？！"
 CLOSERS = "\"'”’」』)]}*_~ \t\r\n​"
-#: Share of the texts with an ending in which it must end a sentence to be taken for one.
-ENDS = 0.02
+#: Marks after which a sentence or a part of one is complete.
+PAUSES = FINAL + ",，、;；:：~"
+#: Windows that must go on for each one that ends, for a text to be taken for broken off.
+GOES_ON = 20
 #: A length is a limit if it holds this many times the answers of the lengths around it.
 SPIKE = 5
 
 
-def language_of(text: str) -> str | None:
-    """By script, and by function words within Latin script; None if there is too little."""
-    n = {k: weight * sum(map(len, run.findall(text))) for k, (run, weight) in _SCRIPTS.items()}
-    if n["ja"] and n["ja"] * 4 >= n["zh"]:
-        n["ja"] += n["zh"]
-        n["zh"] = 0
-    script = max(n, key=n.get)
-    if n[script] < 4:
-        return None
-    if script != "latin":
-        return script
-    if n["ko"] >= 4:  # a name or two among Korean words
-        return "ko"
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    hits = {x: sum(w in known for w in words) for x, known in _WORDS.items()}
-    best = max(hits, key=hits.get)
-    return best if hits[best] >= 2 else None
-
-
-#: Letters of each script in runs, and the weight of one against a Latin letter.
-_SCRIPTS = {
-    "ko": (re.compile("[가-힣\u1100-\u11ff\u3131-\u318e]+"), 2),
-    "ja": (re.compile("[\u3040-\u30ff]+"), 2),
-    "zh": (re.compile("[\u4e00-\u9fff]+"), 2),
-    "ru": (re.compile("[\u0400-\u052f]+"), 1),
-    "latin": (re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]+"), 1),
-}
-_WORDS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
-
-
 def _parts(text: str) -> tuple[str, str, str]:
     """(state, comment, rest): state is text, object or broken for JSON that breaks off."""
     s = text.strip()
@@ -123,58 +91,6 @@ def _tail(said: str) -> tuple[bool, str]:
     return s[-1:] in tuple(FINAL) and not cut and bool(s), bare
 
 
-def _grams(texts: list[str], titles: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, texts with it, texts in which it ends a sentence) of all runs of four and
-    of three characters; titles end with the text, the rest with a mark."""
-    joined = "\n".join(texts) + "\n"
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    line = np.cumsum(codes == 10)
-    line[codes == 10] -= 1
-    mark = np.isin(codes, [np.uint64(ord(c)) for c in FINAL])
-    out: list[list[np.ndarray]] = [[], [], []]
-    for n in (4, 3):
-        at = np.flatnonzero(line[: len(codes) - n] == line[n - 1 : len(codes) - 1])
-        at = at[codes[at + n - 1] != 10]
-        if not len(at):
-            continue
-        whose = line[at]
-        title = np.array(titles, bool)[whose]
-        k = mix(_packed(codes[at], codes[at + 1], codes[at + 2], codes[at + 3] if n == 4 else None) + title)
-        f = mark[at + n] | (title & (codes[at + n] == 10))
-        # a text counts once for a run, or loops would outvote the rest
-        order = np.argsort(k, kind="stable")
-        k, f, whose = k[order], f[order], whose[order]
-        of = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (whose[1:] != whose[:-1])])
-        k, f = k[of], np.logical_or.reduceat(f, of)
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        for have, new in zip(out, (k[first], np.diff(np.r_[first, len(k)]), np.add.reduceat(f.astype(np.int64), first)), strict=True):
-            have.append(new)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out)  # type: ignore[return-value]
-
-
-def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray | None) -> np.ndarray:
-    x = a << np.uint64(42) | b << np.uint64(21) | c
-    return x if d is None else x * np.uint64(0x9E3779B97F4A7C15) + (d << np.uint64(1))
-
-
-_MASK = (1 << 64) - 1
-
-
-def _key(tail: str, n: int, title: bool) -> int | None:
-    """The hash that _grams gives to the last n characters."""
-    if len(tail) < n:
-        return None
-    c = [ord(x) for x in tail[-n:]]
-    x = c[0] << 42 | c[1] << 21 | c[2]
-    if n == 4:
-        x = x * 0x9E3779B97F4A7C15 + (c[3] << 1)
-    x = (x + title) & _MASK
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
-    x ^= x >> 31
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _is_copy(bare: str, asked: list[str]) -> bool:
     """The bare answer is one of the bare prompts, give or take a label or a mark."""
     return any(q and (bare == q or len(q) >= 8 and q in bare and len(bare) <= len(q) + max(3, len(q) // 8)) for q in asked)
@@ -183,112 +99,158 @@ def _is_copy(bare: str, asked: list[str]) -> bool:
 #: Texts that are their own plain form.
 _USUAL = re.compile("[\x01-\x7f가-힣\u4e00-\u9fff\u3041-\u3096\u30a1-\u30ff]*")
 _MARKS = re.compile(r"[\W_]+")
-_SCHEMA = "id long, field string, defect string, said string, title boolean, open boolean, size int, k4 long, k3 long"
+_KEYS = re.compile(r'"(comment|next_question)"\s*:')
+_AFTER, _PAUSE = PAUSES + "…·" + CLOSERS, frozenset(PAUSES)
+_SCHEMA = "id long, field string, defect string, said string, title boolean, open boolean, size int, w1 string, w2 string"
+#: A tagger's languages of many texts: code, or None where it is too short or doubtful.
+Speaks = Callable[[list[str]], list[str | None]]
 
 
-def _judged(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterable[pa.RecordBatch], names: list[str], speaks: Speaks) -> Iterator[pa.RecordBatch]:
     """Rules that need nothing but the row; open: truncated if the evidence says so."""
     for b in batches:
-        rows, texts = [], {}
+        rows, texts, heard = [], {}, {}
         for sid, task, prompt, answers in zip(b["id"].to_pylist(), b["task"].to_pylist(), b["prompt"].to_pylist(), zip(*(b[n].to_pylist() for n in names), strict=True), strict=True):
             lines = (prompt or "").split("\n")
             question = next((m for x in lines if QUESTION_LABELS.match(x) and (m := QUESTION_LABELS.sub("", x))), None)
             asked = (question or "", prompt or "", "".join(LABEL.sub("", x) for x in lines))
             title = re.sub(r"[\s_-]", "", task or "").lower() == "title"
-            wanted = "ko"
-            if prompt and prompt.strip():
-                wanted = language_of(question or LABEL.sub("", lines[0])) or "ko"
+            wanted = (question or LABEL.sub("", lines[0])) if prompt and prompt.strip() else None
             texts.update(dict.fromkeys(asked))
+            heard[wanted] = None
             for name, answer in zip(names, answers, strict=True):
                 state, comment, rest = _parts(answer or "")
-                rows.append((sid, name, title, answer or "", state, comment, rest, asked, wanted))
-                texts[answer or ""] = texts[comment] = None
+                spoken = _KEYS.sub(" ", comment) if state == "broken" else f"{comment} {rest}"
+                rows.append((sid, name, title, answer or "", state, comment, spoken, asked, wanted))
+                texts[answer or ""] = texts[comment] = heard[spoken] = None
         unusual = [t for t in texts if not _USUAL.fullmatch(t)]
         plain = {t: t for t in texts} | dict(zip(unusual, textform.plain_texts(unusual), strict=True))
         bare = {t: _MARKS.sub("", p.lower()) for t, p in plain.items()}
+        heard.pop(None, None)
+        of = dict(zip(heard, speaks(list(heard)), strict=True)) | {None: "ko"}
         out = []
-        for sid, name, title, answer, state, comment, rest, asked, wanted in rows:
+        for sid, name, title, answer, state, comment, spoken, asked, wanted in rows:
             all_, own, prompts = bare[answer], bare[comment], [bare[t] for t in asked]
-            said, defect, open_ = plain[comment], None, False
+            said, defect, open_, words = plain[comment], None, False, ("", None)
             if not all_ or all_ in NO_ANSWER or (state == "object" and (not own or own in NO_ANSWER)):
                 defect = "empty"
             elif refuses(said):
                 defect = "refusal"
             elif _is_copy(own, prompts) or _is_copy(all_, prompts):
                 defect = "copy"
+            elif of[spoken] and of[spoken] != (of[wanted] or "ko"):
+                defect = "other_language"
+            elif state == "broken":
+                defect = "truncated"
             else:
-                spoken = language_of((said + " " + rest) if state != "broken" else re.sub(r'"(comment|next_question)"\s*:', " ", said))
-                if spoken and spoken != wanted:
-                    defect = "other_language"
-            marked, tail = _tail(said)
-            if defect is None:
-                if state == "broken":
-                    defect = "truncated"
+                marked, tail = _tail(said)
+                open_ = not marked
+                if open_ and (last := tail.split()[-2:]):
+                    words = ("", *last)[-2:]
+            out.append((sid, name, defect, said, title, open_, len(answer), *words))
+        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 9, types, strict=True)], names=["id", "field", "defect", "said", "title", "open", "size", "w1", "w2"])
+
+
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(title, w1, w2, ends, goes_on): every two words in a row, w2 without the marks
+    after it, in how many texts of the batch a part of a sentence ends there and in how
+    many it goes on. The end of a text without a mark says neither, but for titles."""
+    for b in batches:
+        ends: dict[tuple, int] = {}
+        goes_on: dict[tuple, int] = {}
+        for text, title in zip(b["said"].to_pylist(), b["title"].to_pylist(), strict=True):
+            words = text.split()
+            here: tuple[set, set] = set(), set()
+            before = ""
+            for n, w in enumerate(words, 1):
+                core = w.rstrip(_AFTER)
+                cut = w.endswith(("…", "..."))
+                if core and not cut and not _PAUSE.isdisjoint(w[len(core) :]):
+                    here[0].add((title, before, core))
+                elif core and n < len(words):
+                    here[1].add((title, before, core))
+                elif core and title and not cut:
+                    here[0].add((title, before, core))
+                before = w
+            for count, found in zip((ends, goes_on), here, strict=True):
+                for k in found:
+                    count[k] = count.get(k, 0) + 1
+        keys = list(dict.fromkeys([*ends, *goes_on]))
+        cols = list(zip(*keys, strict=True)) if keys else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array([ends.get(k, 0) for k in keys], pa.int64()), pa.array([goes_on.get(k, 0) for k in keys], pa.int64())], names=["title", "w1", "w2", "ends", "goes_on"])
+
+
+def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one sorted partition of windows and asked-for beginnings (title, w1, w2, ends,
+    goes_on, asked): the beginnings with what their neighbours say. All that begins with
+    a text follows it in the order."""
+    active: list[list] = []
+    for b in batches:
+        out = []
+        for title, w1, w2, ends, goes_on, asked in zip(*(b[c].to_pylist() for c in ("title", "w1", "w2", "ends", "goes_on", "asked")), strict=True):
+            while active and not (active[-1][:2] == [title, w1] and w2.startswith(active[-1][2])):
+                out.append(active.pop())
+            if asked:
+                active.append([title, w1, w2, 0, 0])
+                continue
+            for a in active:
+                if a[2] == w2:
+                    a[3] += ends
+                    a[4] += goes_on
                 else:
-                    open_ = not marked
-            out.append((sid, name, defect, said, title, open_, len(answer), _key(tail, 4, title) if open_ else None, _key(tail, 3, title) if open_ else None))
-        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 9, types, strict=True)], names=["id", "field", "defect", "said", "title", "open", "size", "k4", "k3"])
+                    a[4] += ends + goes_on
+        yield _evidence(out)
+    yield _evidence(active)
 
 
-def _endings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        k, n, f = _grams(b["said"].to_pylist(), b["title"].to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(f.astype(np.int64))], names=["k", "total", "final"])
+def _evidence(rows: list[list]) -> pa.RecordBatch:
+    types = (pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["title", "w1", "w2", "ends", "goes_on"])
 
 
-def _continues(short: str, text: str) -> bool:
-    """text goes on inside the sentence with which short ends."""
-    x = _tail(short)[1]
-    return short != text and len(x) >= 8 and text.startswith(x) and text[len(x) :].lstrip(CLOSERS)[:1] not in ("", *FINAL)
+def continuations(windows: DataFrame, beginnings: DataFrame) -> DataFrame:
+    """(title, w1, w2, ends, goes_on) for each of ``beginnings`` (title, w1, w2): in how
+    many texts the windows (title, w1, w2, ends, goes_on) that begin with it end, and go
+    on, there. Windows with another w1, or where that is '' with another first letter of
+    w2, are no neighbours, so partitions by them are sorted on their own."""
+    rows = windows.withColumn("asked", F.lit(False)).unionByName(beginnings.select("title", "w1", "w2", F.lit(0).cast("long").alias("ends"), F.lit(0).cast("long").alias("goes_on"), F.lit(True).alias("asked")))
+    rows = rows.repartition("title", "w1", F.when(F.col("w1") == "", F.substring("w2", 1, 1)).otherwise("")).sortWithinPartitions("title", "w1", "w2", F.desc("asked"))
+    return rows.mapInArrow(_neighbours, "title boolean, w1 string, w2 string, ends long, goes_on long")
 
 
-def _shortened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one sorted partition: texts that the next text continues. The first and last
-    text come with edge set, to be compared across partitions."""
-    last, first = None, None
-    for b in batches:
-        found = []
-        for t in b["said"].to_pylist():
-            if last is None:
-                first = t
-            elif _continues(last, t):
-                found.append(last)
-            last = t
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([0] * len(found), pa.int32())], names=["said", "edge"])
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([first, last], pa.string()), pa.array([1, 2], pa.int32())], names=["said", "edge"])
-
-
-def shortened_versions(texts: DataFrame) -> DataFrame:
-    """(said): texts that are the beginning of another text of the sorted whole."""
-    found = materialize(texts.select("said").distinct().repartitionByRange("said").sortWithinPartitions("said").mapInArrow(_shortened, "said string, edge int"), "sorted")
-    # two rows for each partition, whatever the input
-    edges = sorted((r.said for r in found.where("edge > 0").collect()))
-    across = [(a,) for a, b in zip(edges, edges[1:], strict=False) if _continues(a, b)]
-    out = found.where("edge = 0").select("said")
-    return (out.union(texts.sparkSession.createDataFrame(across, "said string")) if across else out).distinct()
-
-
-def defective_pairs(df: DataFrame, id_col: str, task_col: str, prompt_col: str, answer_cols: list[str]) -> DataFrame:
-    """Operator: (id, field, defect), a row for each defective answer."""
+def length_limits(judged: DataFrame) -> DataFrame:
+    """(size, limit): lengths that hold ``SPIKE`` times the answers of those around, most
+    of them without an end."""
+    lengths = judged.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("int")).alias("unended"))
+    around = lengths.select(F.explode(F.sequence(F.col("size") - 3, F.col("size") + 3)).alias("size"), F.col("n").alias("m"), F.col("size").alias("at")).where("size <> at")
+    near = lengths.join(around, "size", "left").groupBy("size", "n", "unended").agg((F.coalesce(F.sum("m"), F.lit(0)) / 6).alias("around"))
+    return near.where((F.col("n") > 20) & (F.col("n") > SPIKE * F.col("around")) & (F.col("unended") * 2 > F.col("n"))).select("size", F.lit(True).alias("limit"))
+
+
+def defective_pairs(df: DataFrame, id_col: str, task_col: str, prompt_col: str, answer_cols: list[str], tagger: Tagger) -> DataFrame:
+    """Operator: (id, field, defect), a row for each defective answer. tagger: of
+    ``language.fit_tagger``."""
+    shared = df.sparkSession.sparkContext.broadcast(tagger)
     c = lambda x: F.col(f"`{x}`").cast("string")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), c(task_col).alias("task"), c(prompt_col).alias("prompt"), *(c(a).alias(a) for a in answer_cols))
-    judged = materialize(rows.mapInArrow(lambda it: _judged(it, answer_cols), _SCHEMA), "judged")
+    judged = materialize(rows.mapInArrow(lambda it: _judged(it, answer_cols, shared.value.speaks), _SCHEMA), "judged")
     sound = judged.where("defect IS NULL")
     # copies count once in the whole table, else loops of the corpus would outvote it
-    once = sound.select(F.translate("said", "\n", " ").alias("said"), "title").distinct()
-    endings = once.mapInArrow(_endings, "k long, total long, final long").groupBy("k").agg(F.sum("total").alias("total"), F.sum("final").alias("final"))
+    windows = sound.select("said", "title").distinct().mapInArrow(_windows, "title boolean, w1 string, w2 string, ends long, goes_on long")
+    windows = materialize(windows.groupBy("title", "w1", "w2").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")), "windows")
     open_ = sound.where("open")
-    keys = open_.select(F.explode(F.array("k4", "k3")).alias("k")).where("k IS NOT NULL").distinct()
-    endings = materialize(endings.join(keys, "k", "left_semi"), "endings")
-    lengths = judged.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("int")).alias("unended"))
-    near = lengths.alias("a").join(lengths.select(F.explode(F.sequence(F.col("size") - 3, F.col("size") + 3)).alias("size"), F.col("n").alias("m"), F.col("size").alias("at")).where("size <> at"), "size", "left")
-    limits = near.groupBy("size", "n", "unended").agg((F.coalesce(F.sum("m"), F.lit(0)) / 6).alias("around")).where((F.col("n") > 20) & (F.col("n") > SPIKE * F.col("around")) & (F.col("unended") * 2 > F.col("n"))).select("size", F.lit(True).alias("limit"))
-    short = shortened_versions(sound.select("said")).withColumn("shortened", F.lit(True))
-    e4, e3 = (endings.select(F.col("k").alias(x), (F.col("final") / F.col("total")).alias(f"p_{x}"), F.col("total").alias(f"n_{x}")) for x in ("k4", "k3"))
-    all_ = open_.join(e4, "k4", "left").join(e3, "k3", "left").join(limits, "size", "left").join(short, "said", "left")
-    share = F.when(F.col("n_k4") >= 3, F.col("p_k4")).otherwise(F.coalesce("p_k3", F.lit(0.0)))
-    cut = F.coalesce("shortened", F.lit(False)) | F.coalesce("limit", F.lit(False)) | (share < ENDS)
-    found = all_.where(cut).select("id", "field", F.lit("truncated").alias("defect"))
-    return judged.where("defect IS NOT NULL").select("id", "field", "defect").union(found)
+    asked = open_.where("w2 IS NOT NULL").select("title", "w1", "w2").distinct()
+    two = materialize(continuations(windows, asked), "neighbours")
+    known = F.col("ends") + F.col("goes_on") > 0
+    of_word = windows.groupBy("title", "w2").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")).withColumn("w1", F.lit(""))
+    one = continuations(of_word, two.where(~known).select("title", F.lit("").alias("w1"), "w2").distinct()).select("title", "w2", F.col("ends").alias("ends_1"), F.col("goes_on").alias("goes_on_1"))
+    end = F.substring("w2", -2, 2)
+    ends_alike = of_word.groupBy("title", end.alias("w3")).agg(F.sum("ends").alias("ends_2"), F.sum("goes_on").alias("goes_on_2"))
+    found = open_.withColumn("w3", end).join(two, ["title", "w1", "w2"], "left").join(one, ["title", "w2"], "left").join(ends_alike, ["title", "w3"], "left").join(length_limits(judged), "size", "left")
+    broken = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) * GOES_ON < F.col(b))
+    trails = F.rtrim("said").rlike(r"(…|\.\.\.)$")
+    told = F.coalesce(broken("ends", "goes_on"), broken("ends_1", "goes_on_1"), F.when(trails, True), broken("ends_2", "goes_on_2"), F.lit(False))
+    cut = F.coalesce("limit", F.lit(False)) | told
+    return judged.where("defect IS NOT NULL").select("id", "field", "defect").union(found.where(cut).select("id", "field", F.lit("truncated").alias("defect")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomsieve.llm import crosssplit, groupsplit, language, ledger, mixing, neardup, oracles, packing, pairdefects, repetition, textform, tokens
+from loomsieve.storage import drop, new_path
 
 RECORDS, SAMPLES, LINES, DOCUMENTS = "generate_data_v3", "eval_samples", "raw_lines", "documents"
 
@@ -58,10 +59,18 @@ def p5_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosssplit.overlap_report(records, crosssplit.overlap_counts(records, "ord", ["comment", "message"]), "ord")
 
 
+def _batches(df: DataFrame, at: str) -> list[DataFrame]:
+    """The rows in the order of their arrival, as two batches: up to the middle of the
+    time from the first to the last (and those without a time), and after it."""
+    r = df.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).selectExpr("lo + (hi - lo) / 2 AS middle").first()
+    late = F.coalesce(F.col(at) > F.lit(r.middle), F.lit(False))
+    return [df.where(~late), df.where(late)]
+
+
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[ledger.Ledger, DataFrame]:
-    records = ledger.text_keys(table(spark, sf_dir, RECORDS), "ord", ["title", "retry_message"])
-    lines = ledger.json_keys(table(spark, sf_dir, LINES), "line_id", "payload", "raw_line")
-    return ledger.collapse(spark, [records, lines])
+    records = [ledger.text_keys(b, "ord", ["title", "retry_message"]) for b in _batches(table(spark, sf_dir, RECORDS), "ingested_at")]
+    lines = [ledger.json_keys(b, "line_id", "payload", "raw_line") for b in _batches(table(spark, sf_dir, LINES), "received_at")]
+    return ledger.collapse(spark, [r.unionByName(x) for r, x in zip(records, lines, strict=True)])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,25 +82,38 @@ def p3_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir)[0].rows().select("place", "first_id", "copies")
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, keys, stratum, split): a record's key is its base seed; without one in the
-    record or in seed, the record stands by itself."""
-    rows = table(spark, sf_dir, RECORDS).select(F.col("ord").alias("id"), groupsplit.clean_key(F.col("base_seed_id")).alias("base"), "seed_id", F.regexp_replace(groupsplit.clean_key(F.col("task_type")), "[ -]+", "_").alias("stratum"), F.lower(F.trim("split")).alias("split"))
-    seeds = table(spark, sf_dir, "seed").select("seed_id", groupsplit.clean_key(F.col("base_seed_id")).alias("of_seed"))
-    lacking = rows.where("base IS NULL OR base = ''").join(seeds, "seed_id", "left").withColumn("base", F.coalesce(F.concat(F.lit("base:"), "of_seed"), F.concat(F.lit("record:"), F.col("id").cast("string")))).drop("of_seed")
-    known = rows.where("base <> ''").withColumn("base", F.concat(F.lit("base:"), "base"))
-    return known.unionByName(lacking).select("id", F.array("base").alias("keys"), "stratum", "split")
+def _records_of_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, keys, stratum, split, ingested_at): the key of a record is its base seed, or
+    its seed where it has none, or else the record itself."""
+    base = groupsplit.clean_key(F.col("base_seed_id"))
+    named = F.when(base != "", F.concat(F.lit("base:"), base)).when(F.col("seed_id").isNotNull(), F.concat(F.lit("seed:"), "seed_id")).otherwise(F.concat(F.lit("record:"), F.col("ord").cast("string")))
+    stratum = F.regexp_replace(groupsplit.clean_key(F.col("task_type")), "[ -]+", "_")
+    return table(spark, sf_dir, RECORDS).select(F.col("ord").alias("id"), F.array(named).alias("keys"), stratum.alias("stratum"), F.lower(F.trim("split")).alias("split"), "ingested_at")
+
+
+def _components(spark: SparkSession, sf_dir: str) -> tuple[groupsplit.Components, DataFrame]:
+    """The component table after two batches, and all records. Seeds join the first
+    batch as links of a seed to its base seed, without a record of their own."""
+    records = _records_of_split(spark, sf_dir)
+    base = groupsplit.clean_key(F.col("base_seed_id"))
+    seeds = table(spark, sf_dir, "seed").where(base != "").select(F.lit(None).cast("long").alias("id"), F.array(F.concat(F.lit("seed:"), "seed_id"), F.concat(F.lit("base:"), base)).alias("keys"), F.lit(None).cast("string").alias("stratum"), F.lit(None).cast("string").alias("split"))
+    targets = {r.split: r.share for r in table(spark, sf_dir, "split_targets").collect()}
+    out = groupsplit.Components(spark, new_path(spark, "splits"))
+    first, second = (b.drop("ingested_at") for b in _batches(records, "ingested_at"))
+    for batch in (first.unionByName(seeds), second):
+        drop(out.add(batch, targets, keep_present=False))
+    return out, records
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    components = groupsplit.build_components(_entities(spark, sf_dir)).where("size(splits) > 1")
-    return components.where("key LIKE 'base:%'").select(F.substring("key", 6, 1 << 30).alias("base_seed_id"))
+    known = _components(spark, sf_dir)[0].rows().where("size(splits) > 1 AND key LIKE 'base:%'")
+    return known.select(F.substring("key", 6, 1 << 30).alias("base_seed_id"))
 
 
 def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every record."""
-    targets = {r.split: r.share for r in table(spark, sf_dir, "split_targets").collect()}
-    return groupsplit.assign_splits(_entities(spark, sf_dir), targets)[1].withColumnRenamed("id", "ord")
+    components, records = _components(spark, sf_dir)
+    return components.assigned(records).withColumnRenamed("id", "ord")
 
 
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +125,8 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, SAMPLES)
-    return pairdefects.defective_pairs(samples, "sample_id", "task", "user_input", ["generated", "expected"]).withColumnRenamed("id", "sample_id")
+    tagger = language.fit_tagger(table(spark, sf_dir, DOCUMENTS), "doc_id", "text", "lang", _codes(spark, sf_dir))
+    return pairdefects.defective_pairs(samples, "sample_id", "task", "user_input", ["generated", "expected"], tagger).withColumnRenamed("id", "sample_id")
 
 
 def p7_defect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

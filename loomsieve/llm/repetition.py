@@ -1,9 +1,9 @@
 """Share of repeated content inside one text (problem 1).
 
-Rolling hashes of several n-gram lengths over all texts of an Arrow batch at once in
-numpy: a position is repeated if the n-gram that starts there started earlier in the
+Rolling hashes of several n-gram lengths, from the same prefix sums, over all texts of
+an Arrow batch at once in numpy: a position is repeated if the n-gram that starts there started earlier in the
 same text; coverage counts characters inside repeated n-grams. Equal hashes are
-confirmed on the characters. Lines and sentences that came before are counted too.
+confirmed on the characters. Lines that came before are counted too.
 
 Null and empty texts have share 0 of 0 characters. A text shorter than n has no
 n-gram of that length. Texts are handled whole; the cost is linear but for one sort.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 #: n-gram lengths, in characters of the letters-and-digits form.
 LENGTHS = (8, 16, 32)
 _P = np.uint64(0x9E3779B97F4A7C15)
+_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @cache
@@ -39,22 +40,25 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
 
 
-def _covered(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+def _rolling(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the characters' numbers times powers of a base up to each place, and the
+    inverse powers: the hash of any run is one difference, moved to the origin."""
+    x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * _P
+    power, back = (np.cumprod(np.r_[np.uint64(1), np.full(max(0, len(codes) - 1), b, np.uint64)]) for b in (_P, _P_INVERSE))
+    return np.r_[np.uint64(0), np.cumsum(x * power[: len(x)])], back
+
+
+def _covered(codes: np.ndarray, owner: np.ndarray, n: int, rolling: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """True for characters inside an n-gram that began earlier in the same text."""
     size = len(codes)
     mark = np.zeros(size + 1, np.int32)
     if size >= n:
-        # hashes by doubling: a gram of 2k from two of k, the rest by an overlap
-        h, k = (codes.astype(np.uint64) + np.uint64(1)) * _P, 1
-        h ^= h >> np.uint64(29)
-        while k < n:
-            step = min(k, n - k)
-            h = (h[: size - k - step + 1] * _P + (h[step:][: size - k - step + 1] ^ np.uint64(k + step))) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(31)
-            k += step
+        sums, back = rolling
         at = np.flatnonzero(owner[: size - n + 1] == owner[n - 1 :])
+        h = (sums[at + n] - sums[at]) * back[at]
         # the owner goes into the key, so one sort serves the batch
-        key = h[at] + (owner[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        key = (h ^ (h >> np.uint64(31))) + (owner[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         order = np.argsort(key, kind="stable")
         same = key[order[1:]] == key[order[:-1]]
         later, earlier = at[order[1:][same]], at[order[:-1][same]]
@@ -76,8 +80,9 @@ def repetition_of(texts: list[str | None]) -> dict[str, np.ndarray]:
     codes, owner = codes[keep], owner[keep]
     chars = np.bincount(owner, minlength=len(given))
     out: dict[str, np.ndarray] = {"chars": chars}
+    rolling = _rolling(codes)
     for n in LENGTHS:
-        covered = np.bincount(owner, weights=_covered(codes, owner, n), minlength=len(given))
+        covered = np.bincount(owner, weights=_covered(codes, owner, n, rolling), minlength=len(given))
         out[f"share_{n}"] = covered / np.maximum(chars, 1)
     lines, repeated = np.zeros(len(given)), np.zeros(len(given))
     for i, t in enumerate(given):

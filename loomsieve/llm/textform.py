@@ -13,6 +13,7 @@ blanks become spaces), texts of any length are handled whole.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomsieve.llm._pairs import ordered_pairs, ranked, within_classes
+from loomsieve.llm._pairs import classes, ordered_pairs, within_classes
+from loomsieve.storage import materialize
 
 # Characters without a shape of their own.
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
@@ -29,28 +31,50 @@ INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-
 BLANKS = "               　"
 # Letters of other scripts drawn like a Latin letter.
 LOOK_ALIKES = {
-    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονικ", "ABEZHIKMNOPTYXovik"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυχϲϳ", "ABEZHIKMNOPTYXayikvopuxcj"),
     "Cyrillic": ("АВЕЅІЈКМНОРСТУХԌԚԜаеѕіјорсухһԁԛԝӏѵ", "ABESIJKMHOPCTYXGQWaesijopcyxhdqwlv"),
     "Armenian": ("ՏՍՕօսհոց", "SUOouhng"),
     "Latin": ("ɡɑıᴏᴠᴡᴢᴄ", "gaiovwzc"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏳᏴ", "DRTAJEWMHYGZRWSVSLCPKGB"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Coptic": ("ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "ABHIKMNOPCTYXopc"),
 }
+#: Kinds of compatibility forms that are other drawings of the usual characters.
+_DRAWN = ("wide", "narrow", "font", "compat", "square", "circle", "super", "sub", "initial", "medial", "final", "isolated")
+
+
+def _usual_form(c: str) -> str | None:
+    """What a compatibility character is another drawing of: letters and digits only, but
+    any mark of full or half width; None for all other characters."""
+    kind = unicodedata.decomposition(c).partition(" ")[0].strip("<>")
+    if kind not in _DRAWN or 0x3131 <= ord(c) <= 0x318E:  # single letters of Hangul are usual
+        return None
+    step = "".join(chr(int(x, 16)) for x in unicodedata.decomposition(c).split(" ")[1:])
+    if kind == "narrow" and 0x3131 <= ord(step[0]) <= 0x318E:
+        return step
+    to = unicodedata.normalize("NFKC", c)
+    if kind in ("wide", "narrow"):
+        return to
+    return to if all(unicodedata.category(x)[0] in "LN" for x in to) else None
 
 
 @cache
-def _tables() -> dict[str, tuple[str, str]]:
-    """(from, to) for translate. Usual: look-alikes, blanks and full-width forms; rare:
-    by rule every other single character whose compatibility form is one character
-    of the same drawing (half-width and font variants)."""
+def _tables() -> dict[str, dict[str, str]]:
+    """Characters and what they become. usual: look-alikes, blanks and full-width forms;
+    rare: by rule every other compatibility form, letters of Hangul that compose with
+    nothing, and forms of the look-alikes."""
     usual = dict.fromkeys(BLANKS, " ") | {chr(o): chr(o - 0xFEE0) for o in range(0xFF01, 0xFF5F)}
     for old, new in LOOK_ALIKES.values():
         usual.update(zip(old, new, strict=True))
     rare = {}
-    for block in ((0x2100, 0x2150), (0xFF5F, 0xFFEF), (0x1D400, 0x1D800)):
-        for o in range(*block):
-            kind, _, rest = unicodedata.decomposition(c := chr(o)).partition(" ")
-            if kind in ("<wide>", "<narrow>", "<font>") and rest and len(to := unicodedata.normalize("NFKC", c)) == 1:
-                rare[c] = usual.get(to, to)
-    return {k: ("".join(t), "".join(t.values())) for k, t in (("usual", usual), ("rare", rare))}
+    for o in (*range(0xA0, 0xD800), *range(0xF900, sys.maxunicode + 1)):
+        c = chr(o)
+        if c not in usual and (to := _usual_form(c)) is not None:
+            rare[c] = "".join(usual.get(x, x) for x in to)
+    for o in range(0x3131, 0x3164):
+        x = chr(int(unicodedata.decomposition(chr(o)).split(" ")[1], 16))
+        rare[x] = chr(o)
+    return {"usual": usual, "rare": rare}
 
 
 def _class(chars: str) -> str:
@@ -64,20 +88,39 @@ def _class(chars: str) -> str:
     return "[" + "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in runs) + "]"
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def _mapped_sql(x: str, table: str) -> str:
-    """translate builds its table for each text, so only texts that need it get there."""
-    old, new = (t.replace("'", "''") for t in _tables()[table])
-    return f"CASE WHEN regexp_matches({x}, '{_class(_tables()[table][0])}') THEN translate({x}, '{old}', '{new}') ELSE {x} END"
+    """translate and the map are built for each text, so only texts that need them get
+    there; characters that become several are looked up one by one."""
+    of = _tables()[table]
+    one, more = {k: v for k, v in of.items() if len(v) == 1}, {k: v for k, v in of.items() if len(v) != 1}
+    out = f"CASE WHEN regexp_matches({x}, '{_class(''.join(one))}') THEN translate({x}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))}) ELSE {x} END"
+    if more:
+        keys, values = (", ".join(map(_quoted, v)) for v in (more, more.values()))
+        each = f"array_to_string(list_transform(regexp_extract_all({out}, '(?s).'), lambda c: coalesce(MAP([{keys}], [{values}])[c], c)), '')"
+        out = f"CASE WHEN regexp_matches({x}, '{_class(''.join(more))}') THEN {each} ELSE {out} END"
+    return out
 
 
-def plain_sql(x: str) -> str:
-    """The plain form of SQL expression ``x``. Texts of ASCII and whole syllables or
-    ideographs alone, most of a corpus, are their own plain form."""
+#: Characters of which any text is its own plain form.
+OWN_FORM = r"\x{01}-\x{7F}\x{AC00}-\x{D7A3}\x{4E00}-\x{9FFF}\x{3041}-\x{3096}\x{309D}\x{309E}\x{30A1}-\x{30FE}"
+
+
+def full_plain_sql(x: str) -> str:
+    """The plain form of SQL expression ``x``, whatever is in it."""
     full = f"nfc_normalize(regexp_replace({x}, '{INVISIBLE}', '', 'g'))"
     for table in _tables():
         full = _mapped_sql(f"({full})", table)
-    usual = r"^[\x{01}-\x{7F}\x{AC00}-\x{D7A3}\x{4E00}-\x{9FFF}\x{3041}-\x{30FF}]*$"
-    return f"CASE WHEN regexp_matches({x}, '{usual}') THEN {x} ELSE nfc_normalize({full}) END"
+    return f"nfc_normalize({full})"
+
+
+def plain_sql(x: str) -> str:
+    """The plain form of SQL expression ``x``. Texts of ASCII and whole syllables, kana
+    or ideographs alone, most of a corpus, are their own plain form."""
+    return f"CASE WHEN regexp_matches({x}, '^[{OWN_FORM}]*$') THEN {x} ELSE {full_plain_sql(x)} END"
 
 
 def bare_of_plain_sql(x: str) -> str:
@@ -143,12 +186,14 @@ def lookalike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Operator: (id_a, id_b), pairs of records of which a field differs in characters
     but not in plain form. Texts with an empty bare form are no case.
 
-    Only hashes are shuffled. Copies of one spelling beyond the first ``LINKED`` are
-    linked to the first record of each other spelling, not to each of its copies.
+    Only hashes are shuffled. A spelling with more than ``COPIES`` copies is in class
+    form: its records are paired with the first record of each other spelling.
     """
     sql = f"""SELECT id, field, text, plain FROM (SELECT id, field, text, {plain_sql('text')} AS plain FROM batch) WHERE regexp_matches(plain, '[\\pL\\pN]')"""
     formed = long_units(df, id_col, fields).mapInArrow(lambda it: run_sql(it, sql), "id long, field int, text string, plain string")
     keyed = formed.select("id", F.xxhash64("field", "plain").alias("k"), F.xxhash64(F.lit(7), "plain", "field").alias("k2"), F.xxhash64("text").alias("form"))
+    keyed = materialize(keyed, "keys")  # read twice; forms are made once
     several = keyed.groupBy("k", "k2").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select("k", "k2")
     members = keyed.join(several, ["k", "k2"], "left_semi").dropDuplicates(["k", "k2", "form", "id"])
-    return ordered_pairs(within_classes(ranked(members, ["k", "k2", "form"]), ["k", "k2"], "form"))
+    of = classes(materialize(members, "members"), ["k", "k2"], "form")
+    return ordered_pairs(within_classes(of, ["k", "k2"], "form", alike=False))

@@ -3,11 +3,14 @@
 import itertools
 import json
 import random
+import subprocess
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from loomsieve.llm import _pairs, crosssplit, groupsplit, language, ledger, mixing, nearpairs, neardup, packing, pairdefects, repetition, sketches, textform, tokens
+from loomsieve.llm import _pairs, crosssplit, groupsplit, language, ledger, mixing, nearpairs, neardup, packing, pairdefects, queries, repetition, sketches, textform, tokens, versions
 
 LONG = "가나다라 마바사 " * 20_000
 CLASH = "id_ long, text string, id string, h string, n string, field string, bin string, source string, tokens string, label string, plain string, salt int, side int"
@@ -58,7 +61,23 @@ def test_repetition_edges(spark):
 
 def test_plain_form():
     given = ["ＮＡＰІＧＡ　가방", "é a​b­c", "한", "NAPIGA", None, "", "x y z", "𝐀①ﾊ", "줄\n바꿈\t"]
-    assert textform.plain_texts(given) == ["NAPIGA 가방", "é abc", "한", "NAPIGA", None, "", "x y z", "A①ハ", "줄\n바꿈\t"]
+    assert textform.plain_texts(given) == ["NAPIGA 가방", "é abc", "한", "NAPIGA", None, "", "x y z", "A1ハ", "줄\n바꿈\t"]
+
+
+def test_forms_of_one_shape_are_equal():
+    same = [("か\u3099", "が"), ("ハ\u309a", "パ"), ("ｶﾞ", "ガ"), ("ﾡ", "ㄱ"), ("\u1100", "ㄱ"), ("\u1112\u1161\u11ab", "한"), ("ﬁ", "fi"), ("Ⅳ", "IV"), ("ⅰ", "i"), ("㎏", "kg"), ("①", "1"), ("²", "2"), ("Ꭺ", "A"), ("ꓮ", "A"), ("Ⲁ", "A"), ("Α", "A"), ("\ufe8d", "\u0627"), ("ᵀ", "T")]
+    assert textform.plain_texts([x for x, _ in same]) == [y for _, y in same]
+    assert textform.plain_texts(["…", "‥", "ㅋㅋ", "㈜"]) == ["…", "‥", "ㅋㅋ", "㈜"]
+    long = "가나다 " * 100_000 + "ﬁ"
+    assert textform.plain_texts([long]) == [long[:-1] + "fi"]
+
+
+def test_quick_way_equals_the_whole_mapping():
+    ranges = [[int(x, 16) for x in r] for r in (("1", "7F"), ("AC00", "D7A3"), ("4E00", "9FFF"), ("3041", "3096"), ("309D", "309E"), ("30A1", "30FE"))]
+    assert textform.OWN_FORM == r"\x{01}-\x{7F}\x{AC00}-\x{D7A3}\x{4E00}-\x{9FFF}\x{3041}-\x{3096}\x{309D}\x{309E}\x{30A1}-\x{30FE}"
+    batch = pa.RecordBatch.from_pydict({"x": [chr(o) for lo, hi in ranges for o in range(lo, hi + 1)]})
+    for b in textform.run_sql([batch], f"SELECT x, {textform.full_plain_sql('x')} AS p FROM batch"):
+        assert b["x"].to_pylist() == b["p"].to_pylist()
 
 
 def test_lookalike_pairs(spark):
@@ -126,21 +145,49 @@ def test_near_duplicates_match_brute_force(spark):
     assert neardup.near_duplicate_pairs(clashing(spark, []), "id_", ["text"]).count() == 0
 
 
-def test_hot_bucket_loses_no_link(spark, monkeypatch):
+@pytest.mark.parametrize(("hot", "local"), [(8, 256), (2048, 4), (8, 4)])
+def test_hot_bucket_loses_no_link(spark, monkeypatch, hot, local):
     rng = random.Random(6)
     base = "".join(rng.choice("가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허") for _ in range(90))
     texts = {i: base[:i % 80] + rng.choice("xyz") + base[i % 80 :] + str(i) for i in range(60)}
-    df = clashing(spark, list(texts.items()))
-    plain = set(ids(neardup.near_duplicate_pairs(df, "id_", ["text"]), "id_a", "id_b"))
-    monkeypatch.setattr(nearpairs, "HOT", 8)
-    assert set(ids(neardup.near_duplicate_pairs(df, "id_", ["text"]), "id_a", "id_b")) == plain == brute_pairs(texts)
-
-
-def test_copies_are_linked_to_the_first(spark, monkeypatch):
-    rows = [(i, "똑같은 문장이 여러 번 나온다") for i in range(200)]
-    out = ids(neardup.near_duplicate_pairs(clashing(spark, rows), "id_", ["text"]), "id_a", "id_b")
-    n = _pairs.LINKED
-    assert len(out) == n * (n - 1) // 2 + 200 - n and {b for a, b in out if a == 0} == set(range(1, 200))
+    texts |= {100 + i: base[:40] + "".join(rng.choice("abcdefghijklmnop") for _ in range(45)) for i in range(40)}
+    monkeypatch.setattr(nearpairs, "HOT", hot)
+    monkeypatch.setattr(nearpairs, "LOCAL", local)
+    monkeypatch.setattr(_pairs, "BLOCK", 16)
+    want = brute_pairs(texts)
+    assert set(ids(neardup.near_duplicate_pairs(clashing(spark, list(texts.items())), "id_", ["text"]), "id_a", "id_b")) == want
+    df = spark.createDataFrame([(i, t, ("train", "val")[i % 2]) for i, t in texts.items()] + [(500, texts[0], "val")], "ord long, a string, split string")
+    across = {(i, j) if i % 2 == 0 else (j, i) for i, j in want if i % 2 != j % 2}
+    across |= {(0, 500)} | {(i, 500) for a, b in want for i in (a, b) if 0 in (a, b) and i and i % 2 == 0}
+    assert set(ids(crosssplit.cross_split_pairs(df, "ord", ["a"]), "train_id", "eval_id")) == across
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark):
+    df = spark.createDataFrame([(1, 5, 50), (2, 5, 51), (3, 5, 50), (4, 6, 60)], "id long, h long, h2 long")
+    by = {r.id: r.h for r in nearpairs.settled(df).collect()}
+    assert by[1] == by[3] and len(set(by.values())) == 3
+
+
+def test_hot_copies_are_in_class_form(spark):
+    """A text with 200 copies: each is paired with the first; a linked text of three
+    copies meets the first of them, and its own first meets all."""
+    one, two = "똑같은 문장이 여러 번 나온다", "똑같은 문장이 여러 번 나온다고"
+    rows = [(i, one) for i in range(200)] + [(1000 + i, two) for i in range(3)]
+    out = set(ids(neardup.near_duplicate_pairs(clashing(spark, rows), "id_", ["text"]), "id_a", "id_b"))
+    star = {(0, i) for i in range(1, 200)}
+    small = {(1000, 1001), (1000, 1002), (1001, 1002)}
+    assert out == star | small | {(0, 1000 + k) for k in range(3)} | {(i, 1000) for i in range(200)}
+    by = {r.id: r for r in neardup.near_duplicates(clashing(spark, rows), "id_", ["text"]).collect()}
+    assert len(by) == 203 and all(by[i].class_id == 0 and by[i].copies == 200 and by[i].links == 1 for i in range(200))
+
+
+def test_hot_values_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(_pairs, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(300)], "id long, k long")
+    hot = _pairs.hot_values(rows, "k")
+    of = rows.select("k").distinct().withColumn("v", rows.k * 2)
+    assert hot == [1] and ids(_pairs.spread_join(rows, of, ["k"], hot), "id", "v") == [(i, 2 if i % 3 else 2 * i) for i in range(300)]
+    assert _pairs.spread_join(rows, of.where("k = 1"), ["k"], hot, "left_semi").count() == 200
 
 
 def test_layout_variants_are_all_paired(spark):
@@ -180,7 +227,7 @@ def test_overlaps_of_hot_copies_are_all_counted(spark, monkeypatch):
     texts = [None, *base, *(x[:-1] + "z" for x in base), *(x + "q" for x in base)]
     fields = ["a", "b", "c"]
     df = spark.createDataFrame([(i, *(rng.choice(texts) for _ in fields), rng.choice(["train", "val", "test"])) for i in range(300)], "ord long, a string, b string, c string, split string")
-    monkeypatch.setattr(_pairs, "LINKED", 10**6)
+    monkeypatch.setattr(_pairs, "COPIES", 10**6)
     for f in (fields[:1], fields[:2], fields):
         want = {x.eval_id: x["count"] for x in crosssplit.cross_split_pairs(df, "ord", f).groupBy("eval_id").count().collect()}
         assert want and {x.eval_id: x.n for x in crosssplit.overlap_counts(df, "ord", f).collect()} == want
@@ -201,6 +248,61 @@ def test_ledger_counts_over_batches(spark):
     assert ids(once.rows(), "first_id", "copies") == ids(book.rows(), "first_id", "copies")
 
 
+def test_small_batches_wait_and_buckets_double(spark, monkeypatch, tmp_path):
+    book = ledger.Ledger(spark, f"file://{tmp_path}/book", 2)
+    keys = lambda rows: spark.createDataFrame([("t", i, k, k) for i, k in rows], "place string, id long, k1 long, k2 long")
+    book.apply(keys([(i, i) for i in range(100)]))
+    book.apply(keys([(200, 5), (3, 7)]))
+    assert book.state["waiting"] and ids(book.rows().where("copies > 1 OR first_id <> k1"), "k1", "copies", "first_id") == [(5, 2, 5), (7, 2, 3)]
+    book.apply(keys([]))
+    assert book.store.number == 2
+    monkeypatch.setattr(ledger, "FULL", 30)
+    book.apply(keys([(300 + i, i) for i in range(60)]))
+    assert not book.state["waiting"] and book.state["buckets"] == 4
+    again = ledger.Ledger(spark, f"file://{tmp_path}/book")
+    want = sorted((i, 1 + (i < 60) + (i in (5, 7)), 3 if i == 7 else i) for i in range(100))
+    assert ids(again.rows(), "k1", "copies", "first_id") == want
+    # another writer that was first
+    stale = ledger.Ledger(spark, f"file://{tmp_path}/book")
+    again.apply(keys([(400, 1)]))
+    with pytest.raises(RuntimeError):
+        stale.apply(keys([(400, 1)]))
+
+
+def test_ledger_and_components_outlive_a_session(spark, tmp_path):
+    """Another process makes both, this one goes on with them."""
+    code = f"""
+from pyspark.sql import SparkSession
+from loomsieve.llm import groupsplit, ledger
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rows = spark.createDataFrame([(5, "같은 제목!"), (6, "다른 제목")], "i long, text string")
+ledger.collapse(spark, [ledger.text_keys(rows, "i", ["text"])], folder="file://{tmp_path}/book")
+records = spark.createDataFrame([(1, ["a"], "t", None), (2, ["b", "c"], "t", None)], "id long, keys array<string>, stratum string, split string")
+groupsplit.Components(spark, "file://{tmp_path}/parts").add(records, {{"train": 0.5, "test": 0.5}})
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
+    rows = spark.createDataFrame([(1, "같은제목"), (9, "같은 제목")], "i long, text string")
+    book, _ = ledger.collapse(spark, [ledger.text_keys(rows, "i", ["text"])], folder=f"file://{tmp_path}/book")
+    assert ids(book.rows(), "first_id", "copies") == [(1, 3), (6, 1)]
+    parts = groupsplit.Components(spark, f"file://{tmp_path}/parts")
+    old = {r.key: (r.component, r.split) for r in parts.rows().collect()}
+    assert set(old) == {"a", "b", "c"} and old["b"] == old["c"] and old["a"][1] != old["b"][1]
+    out = parts.add(records(spark, [(3, ["c"], "t", None), (4, ["d", "a"], "t", None), (5, ["e"], "t", None)]), {"train": 0.5, "test": 0.5})
+    got = {r.id: (r.split, r.status) for r in out.collect()}
+    assert got[3] == (old["b"][1], "kept") and got[4] == (old["a"][1], "kept") and got[5][1] == "new"
+    assert {r.key: r.split for r in parts.rows().collect()} == {"a": old["a"][1], "b": old["b"][1], "c": old["b"][1], "d": old["a"][1], "e": got[5][0]}
+
+
+def test_versions_drop_what_is_old(spark, tmp_path):
+    v = versions.Versions(spark, f"file://{tmp_path}/v")
+    for i in range(4):
+        folder = v.new_folder("x")
+        spark.range(i).write.parquet(v.at(folder))
+        v.commit({"i": i}, {folder})
+    assert len([x for x in tmp_path.joinpath("v").iterdir() if x.name.startswith("x-")]) == 2
+    assert versions.Versions(spark, f"file://{tmp_path}/v").state["i"] == 3
+
+
 def test_json_lines(spark):
     rows = [
         (1, '{"a": "가 나", "n": 1}'), (2, ' {"n":1.0,\n"a":"가나!"}'), (3, '{"a": "가나", "n": 2}'), (4, '{"a": "가나"'), (5, "[1]"), (6, None), (7, ""), (8, '{"a": "\\uac00\\ub098", "n": 1}'),
@@ -265,6 +367,12 @@ def test_split_edges(spark):
     assert table.count() == out.count() == 0
 
 
+def test_present_splits_can_be_noted_only(spark):
+    rows = [(i, [f"g{i % 200}"], "t", "train") for i in range(2000)]
+    table, out = groupsplit.assign_splits(records(spark, rows), TARGETS, keep_present=False)
+    assert abs(out.where("split = 'train'").count() / 2000 - 0.8) < 0.03 and {tuple(r.splits) for r in table.collect()} == {("train",)}
+
+
 def test_hot_component(spark):
     rows = [(i, ["hot" if i % 3 == 0 else f"g{i}"], "t", None) for i in range(3000)]
     out = groupsplit.assign_splits(records(spark, rows), TARGETS)[1].collect()
@@ -275,7 +383,12 @@ def test_hot_component(spark):
 # ---- 7
 
 
-def test_pair_defects(spark):
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return language.fit_tagger(queries.table(spark, "/root/testdata/sf0.01", "documents"), "doc_id", "text", "lang", queries._codes(spark, "/root/testdata/sf0.01"))
+
+
+def test_pair_defects(spark, tagger):
     p = "주제: 의자\n현재 질문: 새 의자를 쓰실 때 어떤 점이 걸리셨나요?\n부적절 유형: evasive"
     en = "Current question: What did you like about the new chair when you used it?\nAnswer: The colour of it"
     sound = "의자를 쓰신 경험을 조금만 더 들려주시겠어요."
@@ -286,30 +399,45 @@ def test_pair_defects(spark):
         (107, "retry", None, sound[:-1], "Das ist nicht so gut und ich würde es nicht wieder kaufen."), (108, None, p, "좋아요 " * 30 + sound, sound), (109, "retry", "", LONG + sound, sound), (109, "retry", "", LONG + sound, sound),
     ]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "sid long, task string, prompt_ string, generated string, expected string, id string, said string")
-    got = set(ids(pairdefects.defective_pairs(df, "sid", "task", "prompt_", ["generated", "expected"]), "id", "field", "defect"))
+    got = set(ids(pairdefects.defective_pairs(df, "sid", "task", "prompt_", ["generated", "expected"], tagger), "id", "field", "defect"))
     assert got == {
         (100, "generated", "empty"), (100, "expected", "empty"), (101, "generated", "empty"), (101, "expected", "empty"), (102, "generated", "truncated"), (102, "expected", "truncated"), (103, "generated", "refusal"), (103, "expected", "refusal"),
         (104, "generated", "copy"), (104, "expected", "copy"), (105, "generated", "other_language"), (106, "expected", "other_language"), (107, "expected", "other_language"),
     }
-    assert pairdefects.defective_pairs(df.limit(0), "sid", "task", "prompt_", ["generated", "expected"]).count() == 0
+    assert pairdefects.defective_pairs(df.limit(0), "sid", "task", "prompt_", ["generated", "expected"], tagger).count() == 0
 
 
-def test_endings_count_copies_once_in_the_table(spark):
+@pytest.mark.parametrize("n", ["10000", "1"])
+def test_evidence_counts_copies_once_in_the_table(spark, tagger, n):
     often = "마을 앞 나무다리 위로 사람들이 천천히 걸어가고 있어요."
     rows = [(i, "intro", "오늘 하루는 어떻게 보내셨나요?", often) for i in range(80)]
-    rows += [(90, "intro", "오늘 하루는 어떻게 보내셨나요?", "제가 좋아하는 곳은 오래된 나무다리."), (91, "intro", "오늘 하루는 어떻게 보내셨나요?", "우리가 어제 함께 건넌 것은 나무다리")]
+    rows += [(90, "intro", "오늘 하루는 어떻게 보내셨나요?", "제가 좋아하는 곳은 마을 앞 나무다리."), (91, "intro", "오늘 하루는 어떻게 보내셨나요?", "우리가 어제 함께 건넌 것은 마을 앞 나무다리"), (92, "intro", "오늘 하루는 어떻게 보내셨나요?", "무지개빛 물결")]
     df = spark.createDataFrame(rows, "sid long, task string, prompt string, said string")
-    found = []
-    for n in ("10000", "1"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
-        found.append(ids(pairdefects.defective_pairs(df, "sid", "task", "prompt", ["said"]), "id", "defect"))
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert found[0] == found[1]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+    try:
+        assert ids(pairdefects.defective_pairs(df, "sid", "task", "prompt", ["said"], tagger), "id", "defect") == []
+        more = df.union(spark.createDataFrame([(100 + i, "intro", None, f"{i}번째 마을 앞 나무다리로 가 주세요.") for i in range(25)], df.schema))
+        assert ids(pairdefects.defective_pairs(more, "sid", "task", "prompt", ["said"], tagger), "id", "defect") == [(91, "truncated")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_neighbours(spark):
+    windows = spark.createDataFrame([(False, "고개가", "끄덕여져요", 9, 0), (False, "고개가", "끄덕여", 0, 2), (False, "고개가", "끄덕", 1, 0), (True, "고개가", "끄덕여져요", 5, 0), (False, "고개를", "끄덕여", 3, 3), (False, "", "끄덕여요", 1, 0), (False, "", "가", 1, 1)], "title boolean, w1 string, w2 string, ends long, goes_on long")
+    asked = spark.createDataFrame([(False, "고개가", "끄덕여"), (False, "고개가", "끄덕"), (False, "없는", "말"), (False, "", "끄덕"), (True, "고개가", "끄덕여져요")], "title boolean, w1 string, w2 string")
+    out = ids(pairdefects.continuations(windows, asked), "title", "w1", "w2", "ends", "goes_on")
+    assert out == [(False, "", "끄덕", 0, 1), (False, "고개가", "끄덕", 1, 11), (False, "고개가", "끄덕여", 0, 11), (False, "없는", "말", 0, 0), (True, "고개가", "끄덕여져요", 5, 0)]
+
 
+def test_short_refusals():
+    said = ["Cannot comply.", "Lo siento, no.", "Desculpe, não.", "Xin lỗi, tôi", "Sinto muito, não.", "I must decline.", "Als KI nein.", "죄송합니다, 도와드리기 어렵습니다."]
+    assert [x for x in said if not pairdefects.refuses(x)] == []
+    assert not pairdefects.refuses("Nesinu 마들렌 이야기를 들려주세요.")
 
-def test_shortened_versions(spark):
-    texts = ["아주 긴 문장을 여기까지 썼", "아주 긴 문장을 여기까지 썼다가 지웠어요.", "전혀 다른 문장입니다.", "아주 긴 문장을 여기까지 썼다가 지웠어요."]
-    assert ids(pairdefects.shortened_versions(spark.createDataFrame([(t,) for t in texts], "said string")), "said") == [(texts[0],)]
+
+def test_length_limits(spark):
+    rows = [(100, True)] * 60 + [(n, False) for n in range(90, 110) for _ in range(3)]
+    assert ids(pairdefects.length_limits(spark.createDataFrame(rows, "size int, open boolean")), "size", "limit") == [(100, True)]
 
 
 # ---- 8 and 9
@@ -387,8 +515,19 @@ SAID = {
 
 
 def test_label_codes():
-    names = {v.lower(): k for k, v in CODES.items()}
-    assert [language.label_code(x, names) for x in ("ko-KR", "KOR", "한국어", "Korean", "en_GB", "Deutsch", None, "", "??", "und", "fr")] == ["ko", "ko", "ko", "ko", "en", "de", None, None, None, None, "fr"]
+    known = language.spellings(CODES)
+    assert [language.label_code(x, known) for x in ("ko-KR", "KOR", "한국어", "Korean", "en_GB", "Deutsch", None, "", "??", "und", "fr")] == ["ko", "ko", "ko", "ko", "en", "de", None, None, None, None, "fr"]
+
+
+def test_one_noisy_label_does_not_move_the_threshold():
+    p = np.array([[0.99, 0.01]] * 3000 + [[0.7, 0.3]] * 50)
+    target = np.array([1] + [0] * 2999 + [1] * 50)
+    assert language._threshold(p, target) == pytest.approx(0.95) and language._threshold(p, np.zeros(3050, int)) == pytest.approx(0.7)
+
+
+def test_names_in_another_script_are_blank():
+    codes, _ = language._prepared(["Luvaru 라디오와 색 조합\nthe chair of 라디오 and so on", ""])
+    assert "".join(map(chr, codes)) == "       라디오와 색 조합 the chair of     and so on "
 
 
 def test_languages(spark):
