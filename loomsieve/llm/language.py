@@ -32,19 +32,18 @@ from loomsieve.llm.sketches import mix
 
 @dataclass(frozen=True)
 class Sample:
-    """Bound on the labelled rows to train on: documents of each language, different
-    pieces of each document, and pieces of each language in all; a piece is a line or at
-    most ``chars`` characters of one, from anywhere in the text."""
+    """Bound on the labelled rows to train on: documents of each language and different
+    pieces of each; a piece is a line or at most ``chars`` characters of one, from
+    anywhere in the text."""
 
     documents: int = 300
-    of_document: int = 12
-    pieces: int = 1200
+    of_document: int = 4
     chars: int = 200
 
 
 #: Share of held-out pieces above the rejection threshold that may be misjudged, and the
 #: range of the threshold.
-ERRORS, LEAST, MOST = 0.001, 0.6, 0.95
+ERRORS, LEAST, MOST = 0.002, 0.6, 0.9
 BUCKETS, DIM = 1 << 16, 16
 #: Letters that a line needs to speak for itself (syllables and ideographs count thrice).
 LETTERS = 22
@@ -193,7 +192,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int, epochs: int = 4, rate: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int, least_steps: int = 400, rate: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
     """Stochastic gradient descent on embeddings and softmax; the folded table, bias."""
     rng = np.random.default_rng(seed)
     # features start at nothing, so that unseen ones say nothing
@@ -207,6 +206,7 @@ def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int, epochs: int =
     share = (count / n[owner]).astype(np.float32)[:, None]
     ends = np.searchsorted(owner, np.arange(len(texts) + 1))
     steps, batch = 0, 64
+    epochs = max(4, -(-least_steps // max(1, -(-len(texts) // batch))))
     total = epochs * -(-len(texts) // batch)
     for _ in range(epochs):
         mixed = rng.permutation(len(texts))
@@ -231,17 +231,24 @@ def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int, epochs: int =
     return emb @ soft, bias
 
 
-def train(texts: list[str], labels: list[str], langs: list[str]) -> Tagger:
-    """Fit on lines; every fifth line is held out for temperature and rejection."""
-    y = np.array([langs.index(x) for x in labels])
-    held = np.arange(len(texts)) % 5 == 0
-    fit = [t for t, h in zip(texts, held, strict=True) if not h]
-    first = Tagger(langs, *_fit(fit, y[~held], len(langs), 1), 1.0, 0.0)
-    own = lambda tagger, of: tagger.lines_of([t.replace("\n", " ") for t in of])[1]
-    right = own(first, texts).argmax(1) == y  # wrong labels, foreign lines
-    keep = right & ~held
-    second = Tagger(langs, *_fit([t for t, k in zip(texts, keep, strict=True) if k], y[keep], len(langs), 2), 1.0, 0.0)
-    logits, target = own(second, [t for t, k in zip(texts, held & right, strict=True) if k]), y[held & right]
+def train(texts: list[str], labels: list[str], langs: list[str], documents: list[int]) -> Tagger:
+    """Fit on pieces; those of every fifth document are held out for temperature and
+    rejection. Pieces that a model of the other half of the documents denies, as their
+    label is wrong or they are foreign, teach and test nothing."""
+    y, of = np.array([langs.index(x) for x in labels]), np.array(documents)
+    held, half = of // 2 % 5 == 0, of % 2
+    own = lambda tagger, rows: tagger.lines_of([texts[i].replace("\n", " ") for i in rows])[1]
+    right = np.zeros(len(y), bool)
+    for h in (0, 1):
+        learn, judge = np.flatnonzero(half == h), np.flatnonzero(half != h)
+        if len(learn) and len(judge):
+            model = Tagger(langs, *_fit([texts[i] for i in learn], y[learn], len(langs), 1), 1.0, 0.0)
+            right[judge] = own(model, judge).argmax(1) == y[judge]
+    keep, test = np.flatnonzero(right & ~held), np.flatnonzero(right & held)
+    if not len(keep) or not len(test):
+        keep, test = np.arange(len(y)), np.arange(len(y))
+    second = Tagger(langs, *_fit([texts[i] for i in keep], y[keep], len(langs), 2), 1.0, 0.0)
+    logits, target = own(second, test), y[test]
     best = min((0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.5), key=lambda s: -np.log(_softmax(logits / s)[np.arange(len(target)), target] + 1e-9).mean())
     second.temperature, second.least = best, _threshold(_softmax(logits / best), target)
     return second
@@ -276,12 +283,10 @@ def fit_tagger(df: DataFrame, id_col: str, text_col: str, label_col: str, codes:
     share = df.sparkSession.createDataFrame([(c, min(1.0, sample.documents / k)) for c, k in n.items()], "code string, share double")
     rows = docs.join(F.broadcast(share), "code").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
     pieces = rows.select("code", "h", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"([^\\n]{{1,{sample.chars}}})")))).alias("piece")).where(F.length("piece") >= 8)
-    by_hash = [F.xxhash64("piece", F.lit(12)), F.col("piece")]
-    pieces = pieces.withColumn("n", F.row_number().over(Window.partitionBy("code", "h").orderBy(*by_hash))).where(F.col("n") <= sample.of_document)
-    drawn = F.row_number().over(Window.partitionBy("code").orderBy(*by_hash))
-    taken = pieces.withColumn("n", drawn).where(F.col("n") <= sample.pieces).orderBy("code", "n").collect()
+    drawn = F.row_number().over(Window.partitionBy("code", "h").orderBy(F.xxhash64("piece", F.lit(12)), "piece"))
+    taken = pieces.withColumn("n", drawn).where(F.col("n") <= sample.of_document).orderBy("code", "h", "n").collect()
     mixed = [taken[i] for i in np.random.default_rng(12).permutation(len(taken))]
-    return train([r.piece for r in mixed], [r.code for r in mixed], [c for c in codes if any(r.code == c for r in taken)])
+    return train([r.piece for r in mixed], [r.code for r in mixed], [c for c in codes if any(r.code == c for r in taken)], [r.h & ((1 << 62) - 1) for r in mixed])
 
 
 def tag_languages(df: DataFrame, id_col: str, text_col: str, label_col: str, codes: dict[str, str], tagger: Tagger) -> DataFrame:
