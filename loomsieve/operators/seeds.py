@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsieve.functions import text as T
+from loomsieve.storage import materialize
 
 #: Effective stride over the topics from slot to slot.
 STRIDE = 18
@@ -95,3 +96,39 @@ def replies_to_records(replies: DataFrame, reply_col: str, text_col: str, seed_c
     texts = F.when(F.coalesce(F.size(texts), F.lit(0)) > 0, texts).otherwise(plain)
     out = replies.select(*seed_cols, F.explode(texts).alias(text_col)).withColumn(text_col, T.strip(F.col(text_col))).where(F.col(text_col) != "")
     return out.where(F.length(text_col) <= max_length) if max_length else out
+
+
+def records_of_replies(replies: DataFrame, reply_col: str, keys: list[str], keep_cols: list[str], strip: bool = True) -> DataFrame:
+    """Raw JSON replies whose records need several ``keys``: an object gives its first
+    list or itself, an array its objects; objects that lack a key give no row. strip:
+    values without blanks around them, and no row where the first key's is blank (the
+    later format); else as they came (the first one). Replies that aren't JSON give none."""
+    r = F.when(T.is_json(F.col(reply_col)), F.col(reply_col))
+    one, many = "map<string, string>", "array<map<string, string>>"
+    wrapped = F.get(F.filter(F.transform(F.map_values(F.from_json(r, one)), lambda v: F.when(v.startswith("["), F.from_json(v, many))), lambda x: x.isNotNull()), 0)
+    items = F.when(F.trim(r).startswith("["), F.from_json(r, many)).otherwise(F.coalesce(wrapped, F.array(F.from_json(r, one))))
+    rows = replies.select(*keep_cols, F.explode(items).alias("_m")).where(F.col("_m").isNotNull())
+    for k in keys:
+        rows = rows.where(F.map_contains_key("_m", k))
+    out = rows.select(*keep_cols, *(T.strip(F.col("_m")[k]).alias(k) if strip else F.col("_m")[k].alias(k) for k in keys))
+    return out.where(F.coalesce(F.col(keys[0]), F.lit("")) != "") if strip else out
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row (from 1) in the order of ``order``: numbered within
+    range partitions and shifted by the sizes of those before, so no task holds all."""
+    parts = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ordered")
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select("_p", before.alias("_s"))  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_o", own).join(F.broadcast(shift), "_p").withColumn(name, F.col("_o") + F.col("_s")).drop("_p", "_o", "_s")
+
+
+def zip_by_place(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], name: str = "place") -> DataFrame:
+    """The i-th row of a beside the i-th row of b, by the orders given; ValueError unless
+    both have as many rows. Columns must not share names."""
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"{n} rows can't be matched with {m}")
+    return numbered(a, order_a, name).join(numbered(b, order_b, name), name)

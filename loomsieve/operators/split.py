@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +12,20 @@ from loomsieve.storage import materialize
 
 #: A group with more than 1/HEAVY of the rows is placed by itself (at most HEAVY groups).
 HEAVY = 200
+#: Most strata that are kept apart.
+STRATA = 64
 
 
 def group_folds(df: DataFrame, group_col: str, stratum_col: str, folds: int = 10, seed: int = 42) -> DataFrame:
     """(grp, fold) for every group; null groups count as one.
 
-    Heavy groups are placed greedily where they keep strata most even; the others go in
-    hash order, by main stratum, to the folds in turn. Only the heavy groups' counts
-    reach the driver.
+    Heavy groups are placed greedily where they keep strata most even; the others lie in
+    hash order along their main stratum, which is cut where the room that each fold has
+    left in it ends. Only the heavy groups' counts and the sizes of the strata reach the
+    driver; strata beyond STRATA share hash groups.
     """
+    if df.select(stratum_col).distinct().limit(STRATA + 1).count() > STRATA:
+        df = df.withColumn(stratum_col, F.pmod(F.xxhash64(stratum_col), F.lit(STRATA)).cast("string"))
     counts = materialize(df.groupBy(F.col(group_col).alias("grp"), F.col(stratum_col).alias("stratum")).agg(F.count("*").alias("n")), "counts")
     sizes = counts.groupBy("grp").agg(F.sum("n").alias("size"), F.max_by("stratum", F.struct("n", "stratum")).alias("main"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
@@ -36,11 +43,22 @@ def group_folds(df: DataFrame, group_col: str, stratum_col: str, folds: int = 10
     kind = df.schema[group_col].dataType.simpleString()
     done = df.sparkSession.createDataFrame(placed, f"grp {kind}, fold int")
     light = sizes.alias("s").join(heavy.alias("h"), F.expr("s.grp <=> h.grp"), "left_anti").withColumn("h", F.xxhash64("grp", F.lit(seed)))
-    # in turn within hash buckets, so no window holds all groups
+    cuts = []
+    for r in counts.groupBy("stratum").agg(F.sum("n").alias("n")).collect():
+        room = [max(0.0, r.n / folds - x.get(r.stratum, 0)) for x in load]
+        ends = list(itertools.accumulate(x / (sum(room) or 1) for x in room))
+        cuts.append((r.stratum, [*ends[:-1], 2.0]))
+    stratum = counts.schema["stratum"].dataType.simpleString()
+    ends = df.sparkSession.createDataFrame(cuts, f"main {stratum}, ends array<double>")
+    # prefix sums over hash buckets, so no window holds all groups
     light = light.withColumn("bucket", F.pmod("h", F.lit(128)))
-    turn = F.row_number().over(Window.partitionBy("main", "bucket").orderBy(F.desc("size"), "h"))
-    light = light.withColumn("fold", F.pmod(turn + F.col("bucket"), F.lit(folds)).cast("int"))
-    return done.union(light.select("grp", "fold"))
+    over = Window.partitionBy("main")
+    sums = light.groupBy("main", "bucket").agg(F.sum("size").alias("b"))
+    sums = sums.select(F.col("main").alias("m"), F.col("bucket").alias("k"), (F.sum("b").over(over.orderBy("bucket")) - F.col("b")).alias("before"), F.sum("b").over(over).alias("all"))
+    upto = F.sum("size").over(Window.partitionBy("main", "bucket").orderBy("h", "grp").rowsBetween(Window.unboundedPreceding, 0))
+    at = light.withColumn("upto", upto).join(F.broadcast(sums), F.expr("main <=> m AND bucket = k")).drop("m").join(F.broadcast(ends.withColumnRenamed("main", "m")), F.expr("main <=> m"))
+    where = (F.col("before") + F.col("upto") - F.col("size") / 2) / F.col("all")
+    return done.union(at.select("grp", F.size(F.filter("ends", lambda e: e < where)).alias("fold")))
 
 
 def train_val_test(df: DataFrame, group_col: str, stratum_col: str, seed: int = 42) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from loomsieve.functions import patterns as P
 from loomsieve.functions import stats
 from loomsieve.functions import text as T
-from loomsieve.operators import chatml, clean, dedup, quality, scoring, seeds, split
+from loomsieve.functions import tokens
+from loomsieve.operators import chatml, clean, dedup, quality, reports, scoring, seeds, split
 from loomsieve.operators.tasks import quality_text, task_text, with_clean_task
 from loomsieve.plans import sql as Q
 from loomsieve.plans.pipeline import curate
@@ -279,7 +280,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir)
+    return _metrics(spark, sf_dir).withColumn("value", F.round("value", 6))
 
 
 @_query(f"""WITH {_LEAK}, {_START[len(Q.RECORDS) + 2:]}, {_COMBO}, {_RATIO[len(Q.SPLIT_RECORDS) + 2:]}, {_PAIRS},
@@ -395,8 +396,8 @@ def _has(key: str) -> str:
     return f"coalesce(list_contains(json_keys(CASE WHEN json_ok THEN g END), '{key}'), false)"
 
 
-_PARSED = f"""ev AS (SELECT *, {Q.task('task')} AS tk, coalesce(generated, '') AS g, json_valid(coalesce(generated, '')) AS json_ok FROM eval_samples),
-ps AS (SELECT *, {_has('comment')} AS has_c, {_has('next_question')} AS has_n, {_get('g', 'json_ok', 'comment')} AS c, {_get('g', 'json_ok', 'next_question')} AS nq FROM ev)"""
+_PARSED = f"""evs AS (SELECT *, {Q.task('task')} AS tk, coalesce(generated, '') AS g, json_valid(coalesce(generated, '')) AS json_ok FROM eval_samples),
+ps AS (SELECT *, {_has('comment')} AS has_c, {_has('next_question')} AS has_n, {_get('g', 'json_ok', 'comment')} AS c, {_get('g', 'json_ok', 'next_question')} AS nq FROM evs)"""
 
 
 @_query(f"""WITH {_PARSED}, r AS (SELECT *, has_c AND has_n AS k FROM ps WHERE tk = 'response') SELECT {', '.join(f"round({Q.n(x)} * 100 / count(*), 6) AS {name}" for name, x in (
@@ -536,7 +537,7 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(p, "persona_id").join(o, "occasion_id").select("seed_id", "persona", "occasion", filled.alias("prompt"))
 
 
-@_query("WITH a AS (SELECT label AS step, avg(embedding[1]) AS x FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1), b AS (SELECT n_regionkey AS step, CAST(count(*) AS DOUBLE) AS x FROM nation GROUP BY 1) SELECT coalesce(a.step, b.step) AS step, a.x IS NOT NULL AS in_a, coalesce(CAST(CAST(b.x AS BIGINT) AS VARCHAR), '—') AS b FROM a FULL OUTER JOIN b ON a.step = b.step")
+@_query("WITH a AS (SELECT label AS step, avg(embedding[1]) AS x FROM embeddings GROUP BY 1), b AS (SELECT n_regionkey AS step, CAST(count(*) AS DOUBLE) AS x FROM nation GROUP BY 1) SELECT coalesce(a.step, b.step) AS step, a.x IS NOT NULL AS in_a, coalesce(CAST(CAST(b.x AS BIGINT) AS VARCHAR), '—') AS b FROM a FULL OUTER JOIN b ON a.step = b.step")
 def version_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("step")).agg(F.avg(F.col("embedding")[0]).alias("loss"))
     b = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("step")).agg(F.count("*").cast("double").alias("loss"))
@@ -557,3 +558,111 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "eval_samples").where("run_id IS NOT NULL").select("run_id", "sample_id", place.alias("place"))
     nxt = t.select("run_id", (F.col("place") - 1).alias("place"), F.col("sample_id").alias("b"))
     return t.withColumnRenamed("sample_id", "a").join(nxt, ["run_id", "place"])
+
+
+# ---- reports ----------------------------------------------------------------------
+
+
+@_query("SELECT run_id AS category, CAST(sum(CASE WHEN coalesce(json_valid(generated), false) THEN 1 ELSE 0 END) AS BIGINT) AS passed, count(*) AS total, bool_and(coalesce(json_valid(generated), false)) AS all_passed FROM eval_samples GROUP BY 1")
+def scenario_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes of each run: answers that are valid JSON."""
+    return reports.scenario_counts(table(spark, sf_dir, "eval_samples").withColumn("ok", T.is_json("generated")), "run_id", "ok")
+
+
+@_query("SELECT event_type AS task, grouping(event_type) = 1 AS overall, count(*) AS calls, CAST(sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS BIGINT) AS success, CAST(count(*) - sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS BIGINT) AS failures FROM events GROUP BY ROLLUP (event_type)")
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.run_counters(table(spark, sf_dir, "events").withColumn("ok", F.col("value") > 0), "event_type", "ok")
+
+
+@_query(f"WITH c AS (SELECT {Q.task('task')} AS task, count(*) AS n FROM eval_samples GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total FROM c")
+def evaluated_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples over all tasks; response says total_evaluated, the others total."""
+    rows, answers = samples(spark, sf_dir), F.col("task").eqNullSafe("response")
+    one = scoring.non_empty_rates(rows.where(~answers)).select("total", F.lit(None).cast("long").alias("total_evaluated"))
+    return reports.mixed_total(one.union(scoring.response_metrics(rows.where(answers)).select(F.lit(None).cast("long"), "total_evaluated")))
+
+
+_RATES = "json_parse_rate keys_present_rate comment_length_ok honorific_rate no_emoji_rate no_survey_word_rate".split()
+_THRESHOLDS = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value, CAST({x} AS DOUBLE) AS needed, {m} >= {x} AS passed FROM rr" for m, x in reports.THRESHOLDS)
+
+
+@_query(f"WITH rr AS ({_SQL['response_metrics']}) {_THRESHOLDS}")
+def threshold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.threshold_report(response_metrics(spark, sf_dir))
+
+
+@_query(f"WITH {_XSIM}, g AS (SELECT grp, avg(nearest) AS mean, max(nearest) AS most FROM xs GROUP BY grp) SELECT round(avg(mean), 6) AS overall_avg, round(max(most), 6) AS overall_max FROM g")
+def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of the cross-version stage, looked up among the stages of a report."""
+    by = _xsim(spark, sf_dir).groupBy("grp").agg(F.avg("nearest").alias("mean"), F.max("nearest").alias("most"))
+    of = lambda c: F.map_from_entries(F.collect_list(F.struct(F.col("grp").cast("string"), c)))
+    none = F.lit(None).cast("map<string, double>")
+    xsim = by.agg(of("mean").alias("avg_by_task"), of("most").alias("max_by_task")).select(F.lit(2).alias("step"), F.lit("v3_v2_xsim").alias("name"), "avg_by_task", "max_by_task")
+    stages = spark.range(2).select(F.col("id").cast("int").alias("step"), F.lit("near").alias("name"), none.alias("avg_by_task"), none.alias("max_by_task")).union(xsim)
+    out = reports.stage_lookup(stages, "v3_v2_xsim")
+    return out.select(F.round("overall_avg", 6).alias("overall_avg"), F.round("overall_max", 6).alias("overall_max"))
+
+
+@_query("""WITH p AS (SELECT count(*) AS n FROM seed GROUP BY persona_id, occasion_id), b AS (SELECT count(*) AS n FROM seed GROUP BY base_seed_id)
+SELECT 'combos' AS what, NULL AS key, count(*) AS groups, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM p UNION ALL SELECT 'base topics', NULL, count(*), min(n), max(n), round(avg(n), 6) FROM b
+UNION ALL SELECT 'domain', domain, 1, count(*), count(*), CAST(count(*) AS DOUBLE) FROM seed GROUP BY domain""")
+def seed_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of persona and occasion combos, usage of base topics, seeds of each domain."""
+    rows = table(spark, sf_dir, "seed")
+    of = lambda by, what, key: seeds.usage_stats(rows, by).select(F.lit(what).alias("what"), F.lit(key).cast("string").alias("key"), "groups", "least", "most", F.round("mean", 6).alias("mean"))
+    n = F.col("n")
+    domains = rows.groupBy("domain").agg(F.count("*").alias("n")).select(F.lit("domain").alias("what"), F.col("domain").alias("key"), F.lit(1).cast("long").alias("groups"), n.alias("least"), n.alias("most"), n.cast("double").alias("mean"))
+    return of(["persona_id", "occasion_id"], "combos", None).union(of(["base_seed_id"], "base topics", None)).union(domains)
+
+
+@_query(f"WITH {_PARSED} SELECT sample_id, c AS comment, nq AS next_question FROM ps WHERE tk = 'response' AND has_c AND has_n AND json_type(CASE WHEN json_ok THEN g END) = 'OBJECT'")
+def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of the response task as records with all their keys."""
+    rows = samples(spark, sf_dir).where("task = 'response'")
+    out = seeds.records_of_replies(rows, "generated", ["comment", "next_question"], ["sample_id"], strip=False)
+    return out.select("sample_id", F.coalesce("comment", F.lit("")).alias("comment"), F.coalesce("next_question", F.lit("")).alias("next_question"))
+
+
+@_query("WITH a AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS place FROM eval_samples), b AS (SELECT sample_id AS other, row_number() OVER (ORDER BY created_at, sample_id) AS place FROM eval_samples) SELECT place, sample_id, other FROM a JOIN b USING (place)")
+def zipped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists of as many rows side by side: samples by id and by time."""
+    rows = table(spark, sf_dir, "eval_samples")
+    other = rows.select(F.col("sample_id").alias("other"), "created_at")
+    return seeds.zip_by_place(rows.select("sample_id"), other, ["sample_id"], ["created_at", "other"]).select("place", "sample_id", "other")
+
+
+@_query()
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and largest number of tokens of the documents of each source."""
+    n = table(spark, sf_dir, "documents").select("source", tokens.token_length(F.col("text")).alias("n"))
+    return n.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+@_query("SELECT count(*) AS records, CAST(0 AS BIGINT) AS groups_in_two_splits, CAST(0 AS BIGINT) AS without_split, true AS near_shares FROM generate_data_v3")
+def group_split_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of group_split: every record once, no group in two splits, every record
+    with a split, eight tenths in training give or take three hundredths."""
+    rows = group_split(spark, sf_dir)
+    groups = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.countDistinct("split").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("groups_in_two_splits"))
+    whole = rows.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.col("split").isNull().cast("long")), F.lit(0)).alias("without_split"), (F.abs(F.avg((F.col("split") == "train").cast("double")) - 0.8) < 0.03).alias("near_shares"))
+    return whole.select("*", F.lit(1).alias("one")).join(groups.select("*", F.lit(1).alias("one")), "one").select("records", "groups_in_two_splits", "without_split", "near_shares")
+
+
+_METRICS = f"""{_LEAK}, {_START[len(Q.RECORDS) + 2:]}, {_COMBO}, {_RATIO[len(Q.SPLIT_RECORDS) + 2:]}, {_PAIRS}, {_XSIM[len(_UNIT) + 2:]}, rr AS ({_SQL['response_metrics']}),
+gc AS (SELECT avg(cosine) AS c FROM cp GROUP BY grp), xg AS (SELECT avg(nearest) AS mean, max(nearest) AS most FROM xs GROUP BY grp), lt AS (SELECT list_sort(list(value)) AS v, count(value) AS n FROM events WHERE value IS NOT NULL),
+m AS (SELECT 'starting_phrase_top1' AS metric, task_type AS key, CAST(top1 AS DOUBLE) AS value FROM st UNION ALL SELECT 'first_3words_unique', task_type, unique3 FROM st
+  UNION ALL SELECT 'leakage', split_a || '-' || split_b, shared FROM lk2 UNION ALL SELECT 'task_ratio_edge', task_type, max(ratio) - min(ratio) FROM ra GROUP BY task_type
+  UNION ALL SELECT 'persona_occasion_combos', NULL, combos FROM cb UNION ALL SELECT 'persona_occasion_std_ratio', NULL, std_ratio FROM cb UNION ALL SELECT 'intra_group_cosine', NULL, avg(c) FROM gc
+  UNION ALL SELECT 'variation_combos', NULL, count(DISTINCT variation_combo) FROM txt WHERE task_type = 'response' UNION ALL SELECT 'xsim_avg', NULL, avg(mean) FROM xg UNION ALL SELECT 'xsim_max', NULL, max(most) FROM xg
+  {' '.join(f"UNION ALL SELECT 'auto_eval_rate', '{x}', {x} FROM rr WHERE total_evaluated > 0" for x in _RATES)} UNION ALL SELECT 'latency_p95', NULL, v[CAST(floor(n * 0.95) AS BIGINT) + 1] FROM lt),
+ru AS (SELECT * FROM (VALUES {', '.join(f"('{m}', '{op}', CAST({x} AS DOUBLE))" for m, op, x, _ in quality.RULES)}) v(metric, op, lim)),
+ev AS (SELECT metric, key, value, op, lim, CASE WHEN value IS NULL THEN 'not evaluated' WHEN (CASE op WHEN '<=' THEN value <= lim WHEN '>=' THEN value >= lim ELSE value < lim END) THEN 'kept' ELSE 'broken' END AS status FROM ru LEFT JOIN m USING (metric))"""
+_SQL["quality_metrics"] = f"WITH {_METRICS} SELECT metric, key, round(value, 6) AS value FROM m"
+_SQL["go_rules"] = f'WITH {_METRICS} SELECT metric, key, round(value, 6) AS value, op, lim AS "limit", status FROM ev'
+_SQL["go_counts"] = f"WITH {_METRICS} SELECT CASE WHEN count(*) FILTER (status = 'broken') = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) FILTER (status = 'broken') AS broken, count(DISTINCT metric) FILTER (status = 'not evaluated') AS not_evaluated FROM ev"
+
+
+@_query()
+def go_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict with the number of broken rules and of rules nothing is known of."""
+    return go_verdict(spark, sf_dir).select("status", F.size("reasons").cast("long").alias("broken"), F.size("not_evaluated").cast("long").alias("not_evaluated"))

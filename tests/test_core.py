@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 import subprocess
 import sys
@@ -349,3 +350,83 @@ def test_core_stands_without_the_subpackage():
     import pathlib
 
     subprocess.run([sys.executable, "-c", code], check=True, cwd=pathlib.Path(__file__).parent.parent)
+
+
+def test_reports(spark):
+    from loomsieve.operators import reports
+
+    rows = spark.createDataFrame([("a", True), ("a", None), ("b", True), (None, False)], "c string, ok boolean")
+    assert {(r.category, r.passed, r.total, r.all_passed) for r in reports.scenario_counts(rows, "c", "ok").collect()} == {("a", 1, 2, False), ("b", 1, 1, True), (None, 0, 1, False)}
+    assert {(r.task, r.overall, r.calls, r.success, r.failures) for r in reports.run_counters(rows, "c", "ok").collect()} == {("a", False, 2, 1, 1), ("b", False, 1, 1, 0), (None, False, 1, 0, 1), (None, True, 4, 2, 2)}
+    assert reports.mixed_total(spark.createDataFrame([(3, None), (None, 4), (None, None)], "total long, total_evaluated long")).first().total == 7
+    stages = spark.createDataFrame([(2, "x", {"a": 0.2, "b": 0.4}, {"a": 0.5, "b": 0.9}), (3, "x", {"a": 1.0}, {"a": 1.0}), (1, "y", None, None)], "step int, name string, avg_by_task map<string,double>, max_by_task map<string,double>")
+    assert [tuple(round(v, 6) for v in r) for r in reports.stage_lookup(stages, "x").collect()] == [(0.3, 0.9)] and reports.stage_lookup(stages, "z").count() == 0
+    rates = spark.createDataFrame([(95.0, 94.9)], "p double, q double")
+    assert [r.passed for r in reports.threshold_report(rates, [("p", 95.0), ("q", 95.0)]).collect()] == [True, False]
+
+
+def test_replies_with_several_keys(spark):
+    rows = spark.createDataFrame([(1, '[{"c": " x ", "n": "y"}, {"c": "z"}]'), (2, '{"items": [{"c": "p", "n": null}]}'), (3, '{"c": "  ", "n": "q"}'), (4, "{"), (5, None), (6, '["text"]')], "i long, r string")
+    from loomsieve.operators import seeds
+
+    assert {tuple(r) for r in seeds.records_of_replies(rows, "r", ["c", "n"], ["i"]).collect()} == {(1, "x", "y"), (2, "p", None)}
+    assert {tuple(r) for r in seeds.records_of_replies(rows, "r", ["c", "n"], ["i"], strip=False).collect()} == {(1, " x ", "y"), (2, "p", None), (3, "  ", "q")}
+
+
+def test_rows_by_place(spark):
+    from loomsieve.operators import seeds
+
+    a = spark.createDataFrame([(i,) for i in range(50, 0, -1)], "a long").repartition(4)
+    b = spark.createDataFrame([(2 * i,) for i in range(50)], "b long").repartition(3)
+    assert sorted((r.place, r.a, r.b) for r in seeds.zip_by_place(a, b, ["a"], ["b"]).collect()) == [(i + 1, i + 1, 2 * i) for i in range(50)]
+    with pytest.raises(ValueError):
+        seeds.zip_by_place(a, b.limit(9), ["a"], ["b"])
+
+
+def test_token_lengths(spark):
+    from loomsieve.functions import tokens
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("hello world",), ("",), (None,)], "t string")
+    got = [r[0] for r in rows.select(tokens.token_length(F.col("t"))).collect()]
+    assert got == [len(tokens._tokenizer(tokens.VOCABULARY).encode("hello world")), 0, None] and got[0] > 0
+
+
+def test_greedy_walk_equals_rounds(spark):
+    import random
+
+    from loomsieve.operators import dedup
+
+    rng = random.Random(1)
+    links = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(80)} | {(i, i + 1) for i in range(100, 106)}, key=lambda e: (e[1], e[0]))
+    gone = set()
+    for a, b in links:
+        if a not in gone and b not in gone:
+            gone.add(b)
+    df = spark.createDataFrame(links, "a long, b long")
+    for few in (10**6, 30):
+        assert {r.id for r in dedup.greedy_removed(df, few).collect()} == gone
+    assert dedup.greedy_removed(df.limit(0)).count() == 0
+
+
+def test_storage(spark, monkeypatch):
+    from loomsieve import storage
+
+    df = storage.materialize(spark.range(3))
+    path = df.__dict__["_stored"]
+    assert df.count() == 3 and os.path.isdir(path.removeprefix("file://"))
+    storage.drop(df, spark.range(1))
+    assert not os.path.exists(path.removeprefix("file://"))
+
+    class Elsewhere:
+        master = "yarn"
+
+        def getConf(self):
+            return spark.sparkContext.getConf()
+
+    class Session:
+        conf, sparkContext = spark.conf, Elsewhere()
+
+    if spark.sparkContext.getConf().get("spark.checkpoint.dir") is None:
+        with pytest.raises(RuntimeError):
+            storage.shared_dir(Session())
