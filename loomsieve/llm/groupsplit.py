@@ -201,5 +201,5 @@ class Components:
     def assigned(self, records: DataFrame) -> DataFrame:
         """(id, component, stratum, split, status) of records of any batch so far, by the
         table as it now is."""
-        rows = records.select("id", "stratum", F.element_at("keys", 1).alias("key"))
+        rows = records.select("id", F.coalesce("stratum", F.lit("")).alias("stratum"), F.element_at("keys", 1).alias("key"))
         return spread_join(rows, self.rows().drop("splits"), ["key"], hot_values(rows.select("key"), "key")).select("id", "component", "stratum", "split", "status")

@@ -69,18 +69,22 @@ def _bands(batches: Iterable[pa.RecordBatch], sketcher: Sketcher, bands: int, ro
         entries = np.empty(keys.size, _ENTRY)
         entries["key"] = (keys >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
         entries["text"], entries["side"] = np.repeat(h, bands), np.repeat(side, bands)
-        order = np.argsort((part.astype(np.uint64) << np.uint64(40)) | (keys >> np.uint64(24)))
-        part, entries, keys = part[order], entries[order], keys[order]
-        starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (keys[1:] >> np.uint64(24) != keys[:-1] >> np.uint64(24))])
-        length = np.diff(np.r_[starts, len(keys)])
-        many = length > local
+        both = (part.astype(np.uint64) << np.uint64(40)) | (keys >> np.uint64(24))
+        order = np.argsort(both)
+        both = both[order]
+        starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        many = np.diff(np.r_[starts, len(both)]) > local
         hot = b""
         if many.any():
-            out = np.repeat(many, length)
-            hot = np.unique(entries["text"][out]).tobytes()
-            entries["side"][starts[many]] = MARK
-            out[starts[many]] = False
-            part, entries = part[~out], entries[~out]
+            firsts = order[starts[many]]
+            stay = np.ones(len(both), bool)
+            stay[order[np.repeat(many, np.diff(np.r_[starts, len(both)]))]] = False
+            hot = np.unique(entries["text"][~stay]).tobytes()
+            entries["side"][firsts] = MARK
+            stay[firsts] = True
+            part, entries = part[stay], entries[stay]
+        order = np.argsort(part, kind="stable")  # texts stay in order within a part, which packs best
+        part, entries = part[order], entries[order]
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         blobs = [x.tobytes() for x in np.split(entries, cuts[1:])]
         hots = [b""] * len(blobs)

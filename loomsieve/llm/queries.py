@@ -59,10 +59,10 @@ def p5_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosssplit.overlap_report(records, crosssplit.overlap_counts(records, "ord", ["comment", "message"]), "ord")
 
 
-def _batches(df: DataFrame, at: str) -> list[DataFrame]:
-    """The rows in the order of their arrival, as two batches: up to the middle of the
-    time from the first to the last (and those without a time), and after it."""
-    r = df.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).selectExpr("lo + (hi - lo) / 2 AS middle").first()
+def _batches(df: DataFrame, at: str, tenths: int = 5) -> list[DataFrame]:
+    """The rows in the order of their arrival, as two batches: those of the first tenths
+    of the time from the first to the last (and those without a time), and the later."""
+    r = df.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).selectExpr(f"lo + (hi - lo) * {tenths} / 10 AS middle").first()
     late = F.coalesce(F.col(at) > F.lit(r.middle), F.lit(False))
     return [df.where(~late), df.where(late)]
 
@@ -92,14 +92,15 @@ def _records_of_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _components(spark: SparkSession, sf_dir: str) -> tuple[groupsplit.Components, DataFrame]:
-    """The component table after two batches, and all records. Seeds join the first
-    batch as links of a seed to its base seed, without a record of their own."""
+    """The component table after two batches, a large one and a later delivery, and all
+    records. Seeds join the first as links of a seed to its base seed, without a record
+    of their own."""
     records = _records_of_split(spark, sf_dir)
     base = groupsplit.clean_key(F.col("base_seed_id"))
     seeds = table(spark, sf_dir, "seed").where(base != "").select(F.lit(None).cast("long").alias("id"), F.array(F.concat(F.lit("seed:"), "seed_id"), F.concat(F.lit("base:"), base)).alias("keys"), F.lit(None).cast("string").alias("stratum"), F.lit(None).cast("string").alias("split"))
     targets = {r.split: r.share for r in table(spark, sf_dir, "split_targets").collect()}
     out = groupsplit.Components(spark, new_path(spark, "splits"))
-    first, second = (b.drop("ingested_at") for b in _batches(records, "ingested_at"))
+    first, second = (b.drop("ingested_at") for b in _batches(records, "ingested_at", 9))
     for batch in (first.unionByName(seeds), second):
         drop(out.add(batch, targets, keep_present=False))
     return out, records
@@ -160,6 +161,41 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of p6_assignment: every record once, no component in two splits, every
+    record with a split, the shares of the targets give or take two hundredths."""
+    rows = p6_assignment(spark, sf_dir)
+    parts = rows.groupBy("component").agg(F.count("*").alias("n"), F.countDistinct("split").alias("splits"), *(F.count(F.when(F.col("split") == s, 1)).alias(s) for s in ("train", "val", "test")))
+    want = {r.split: r.share for r in table(spark, sf_dir, "split_targets").collect()}
+    near = F.lit(True)
+    for s in ("train", "val", "test"):
+        near = near & (F.abs(F.sum(s) / F.sum("n") - want.get(s, 0.0)) < 0.02)
+    return parts.agg(F.sum("n").alias("records"), F.sum((F.col("splits") > 1).cast("long")).alias("components_in_two_splits"), (F.sum("n") - F.sum("train") - F.sum("val") - F.sum("test")).alias("without_split"), near.alias("near_shares"))
+
+
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of p8_packing for each container: every document, no bin over its
+    capacity, no text cut that would have fitted."""
+    rows = p8_packing(spark, sf_dir)
+    bins = rows.where("bin IS NOT NULL").groupBy("container", "capacity", "bin").agg(F.sum("size").alias("t")).groupBy("container").agg(F.sum((F.col("t") > F.col("capacity")).cast("long")).alias("over_full"))
+    texts = rows.groupBy("container", "capacity", "doc_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("t"))
+    texts = texts.groupBy("container").agg(F.count("*").alias("documents"), F.sum(((F.col("pieces") > 1) & (F.col("t") <= F.col("capacity"))).cast("long")).alias("cut_needlessly"))
+    return texts.join(bins, "container").select("container", "documents", "over_full", "cut_needlessly")
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of p9_copies: every document once, none used more often than allowed
+    or though its source isn't listed, the shares of the targets that have documents
+    give or take three per cent of them."""
+    copies, report = _mixed(spark, sf_dir)
+    caps = table(spark, sf_dir, "mix_targets").select("source", "max_repeats")
+    of = copies.join(F.broadcast(caps), "source", "left")
+    use = of.agg(F.count("*").alias("documents"), F.sum((F.col("copies") > F.col("max_repeats")).cast("long")).alias("over_cap"), F.sum((F.col("max_repeats").isNull() & (F.col("copies") > 0)).cast("long")).alias("unlisted_used"))
+    there = report.where("documents > 0").agg(F.sum("target_share").alias("whole"))
+    near = report.where("documents > 0").join(F.broadcast(there)).agg(F.bool_and(F.abs(F.col("actual_share") * F.col("whole") / F.col("target_share") - 1) < 0.03).alias("near_shares"))
+    return use.join(F.broadcast(near))
+
+
 def _codes(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     return {r.lang: r.name for r in table(spark, sf_dir, "lang_codes").collect()}
 
@@ -176,7 +212,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p3_found, p3_ledger, p4_found, p4_unified, p5_found, p5_overlap_report, p6_found, p6_assignment, p6_shares, p7_found, p7_defect_counts, p8_packing, p8_fill, p9_copies, p9_shares, p10_found, p10_languages]
+    named = [p1_found, p1_repetition, p2_found, p2_near_duplicates, p3_found, p3_ledger, p4_found, p4_unified, p5_found, p5_overlap_report, p6_found, p6_assignment, p6_shares, p6_checks, p7_found, p7_defect_counts, p8_packing, p8_fill, p8_checks, p9_copies, p9_shares, p9_checks, p10_found, p10_languages]
     return {f.__name__: f for f in named}
 
 
