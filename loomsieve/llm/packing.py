@@ -120,11 +120,13 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     schema = "container string, capacity int, id long, piece int, size int, bin string, fill double"
     items, done, step = materialize(open_, "items"), none.union(whole), 0
     many = lambda df: df.groupBy("container").count().agg(F.max("count")).first()[0] or 0
-    count = many(items)
+    count, names = many(items), sorted({r.container for r in wanted}, key=str)
+    place = F.coalesce(*(F.when(F.col("container").eqNullSafe(c), i) for i, c in enumerate(names)), F.lit(0))
     while True:
         shards = max(1, -(-count // SHARD))
-        spread = items.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.lit(step)), F.lit(shards)))
-        packed = materialize(spread.groupBy("container", "shard").applyInArrow(_packer(step), schema), "packed")
+        spread = items.withColumn("shard", (place * shards + F.pmod(F.xxhash64("id", "piece", F.lit(step)), F.lit(shards))).cast("int"))
+        spread = spread.repartitionById(max(1, len(names)) * shards, "shard")  # a task for each shard
+        packed = materialize(spread.groupBy("shard").applyInArrow(_packer(step), schema), "packed")
         left = many(packed.where(F.col("fill") < FULL)) if shards > 1 else 0
         if shards == 1 or left > WORTH * count:
             return done.union(packed)
